@@ -1 +1,8 @@
 """A Spark-native engine for entity-annotated corpora and paired model evaluations."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no copy of this package: functions sent to them carry their code.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
