@@ -9,15 +9,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import annolith
-
-# Executors need no copy of this package: functions sent to them carry their code.
-cloudpickle.register_pickle_by_value(annolith)
-
 _LEFT: dict[str, SparkSession] = {}
 
 

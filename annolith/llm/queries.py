@@ -15,5 +15,66 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import fit_language_model, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = held_out("doc_id", 4, 2)
+    model = fit_language_model(docs.filter(~out))
+    return identify(docs, model).select("doc_id", out.alias("held_out"), F.col("lang_pred"), F.col("score"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer_path: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    from .chat import format_conversations, read_back
+
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return read_back(format_conversations(talks.unionByName(more), tokenizer_path))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "whole_repeats")
+
+
+OP6_SQL = """
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('7|' || doc_id::VARCHAR) AS draw
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, (1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3)::BIGINT AS weight, 3 * source_size AS cap FROM sources
+), ranked AS (
+  SELECT *, cap / weight AS ratio, row_number() OVER (ORDER BY cap / weight, source ASC NULLS LAST) AS rank FROM weighted
+), levels AS (
+  SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(cap) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
+         / (sum(weight) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS level
+  FROM ranked
+), water AS (
+  SELECT arg_min(level, rank) AS level FROM levels WHERE level <= ratio
+), targets AS (
+  SELECT source, source_size, least(weight * w.level, cap::DOUBLE) AS target FROM ranked, water w
+), plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole_repeats FROM targets
+), drawn AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.whole_repeats, floor(p.target - p.whole_repeats * p.source_size + 0.5)::BIGINT AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
+  FROM sized d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, whole_repeats * size + greatest(0, least(size, rest - pos)) AS taken, whole_repeats FROM drawn
+"""
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_chat_formatting, op6_mixing, op8_simhash_near_dedup)}
+ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
