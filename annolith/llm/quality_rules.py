@@ -238,7 +238,7 @@ def base_statistics(raw: np.ndarray, off: np.ndarray, words: Words, h: np.ndarra
 
 
 def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, base statistics, bits): bits is the mean log2 perplexity a byte of the whole text, null for texts shorter than the model's order."""
+    """(doc_id, lang, base statistics, byte_bits, word_bits): the log2 perplexity of the whole text by byte and by word, null for texts shorter than the model's order or without words."""
 
     def make():
         hasher, table, symbol = Hasher(), byte_table(False), np.zeros(256, bool)
@@ -247,42 +247,54 @@ def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", tex
         def run(batch):
             raw, off = utf8(batch.column(1))
             langs = batch.column(2).to_pylist()
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for lo, hi in runs(off):
                 data, o = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
                 words = Words(data, o, table)
                 h = hasher.spans(words.data, words.starts, words.ends)
                 for x, y in zip(out, base_statistics(data, o, words, h, hasher, symbol), strict=False):
                     x.append(y)
-                mean = np.full(hi - lo, np.nan)
+                byte_bits, word_bits = np.full(hi - lo, np.nan), np.full(hi - lo, np.nan)
+                count = np.diff(words.first)
                 for i in range(hi - lo):
                     one = data[o[i] : o[i + 1]]
                     if len(one) >= ORDER:
                         key, total = lang_key(langs[lo + i]), 0.0
                         for at in range(0, len(one) - ORDER + 1, 1 << 19):
                             total += float(model.log_probs(one[at : at + (1 << 19) + ORDER - 1], key).sum(dtype=np.float64))
-                        mean[i] = -total / np.log(2) / (len(one) - ORDER + 1)
-                out[5].append(mean)
-            cols = [pa.array(np.concatenate(x)) for x in out[:5]] + [pa.array(np.concatenate(out[5]), from_pandas=True)]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[c.cast(pa.int64()) for c in cols[:5]], cols[5]], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits"])
+                        byte_bits[i] = -total / np.log(2) / (len(one) - ORDER + 1)
+                        if count[i]:
+                            word_bits[i] = -total / np.log(2) / count[i]
+                out[5].append(byte_bits)
+                out[6].append(word_bits)
+            cols = [pa.array(np.concatenate(x)).cast(pa.int64()) for x in out[:5]] + [pa.array(np.concatenate(x), from_pandas=True) for x in out[5:]]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "byte_bits", "word_bits"])
 
         return run
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), make, f"doc_id long, lang string, {BASE}, bits double")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), make, f"doc_id long, lang string, {BASE}, byte_bits double, word_bits double")
 
 
-def quality_rules(docs: DataFrame, model: HashModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = 6.0, above: float = 6.0, floor: float = 0.02) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, bits, low, high).
+def quality_rules(docs: DataFrame, model: HashModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", byte_band: tuple[float, float] = (7.0, 7.0), word_band: tuple[float, float] = (6.0, 6.0)) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and the perplexities with their places in the bands).
 
     A document fails the base rules with under 50 words or with over half its words in repeated 3-word windows. Of the
-    others, one is kept if its bits a byte lie in its language's band: the median less `below` and plus `above` times
-    the distance of the quartile on that side, or `floor` if that is larger. A null text has no words, a null language
-    is one; repeated rows are repeated; an empty table gives an empty result; other columns are ignored."""
+    others, one is kept if both its log perplexities, by byte and by word, lie in its language's bands. A mean over a
+    text varies less the longer the text is, so a text's place in a band is its distance from the language's median
+    times the root of its words, in units of the quartile distance of such values on that side; the bands' lower and
+    upper ends are so many units off. A null text has no words, a null language is one of its own; repeated rows are
+    repeated; an empty table gives an empty result; other columns are ignored."""
     model = model or fit_kneser_ney(docs, text_col, lang_col)
-    scored = stage(score_quality(docs, model, id_col, text_col, lang_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))))
-    q = F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000).alias("q")
-    bands = scored.filter("not base_failed").groupBy(F.col("lang").alias("band_lang")).agg(q)
-    bands = bands.select("band_lang", (F.col("q")[1] - below * F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(floor))).alias("low"), (F.col("q")[1] + above * F.greatest(F.col("q")[2] - F.col("q")[1], F.lit(floor))).alias("high"))
-    out = scored.join(bands, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "bits", "low", "high")
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    scored = stage(score_quality(docs, model, id_col, text_col, lang_col).withColumn("base_failed", failed))
+    good = scored.filter("not base_failed")
+    kinds = ("byte", "word")
+    mid = good.groupBy(F.col("lang").alias("of")).agg(*[F.percentile_approx(f"{k}_bits", 0.5, 10_000).alias(f"{k}_mid") for k in kinds])
+    off = lambda d: d.join(mid, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of").withColumns({f"{k}_off": (F.col(f"{k}_bits") - F.col(f"{k}_mid")) * F.sqrt("n_words") for k in kinds})
+    spread = off(good).groupBy(F.col("lang").alias("of")).agg(*[F.percentile_approx(f"{k}_off", [0.25, 0.75], 10_000).alias(f"{k}_q") for k in kinds])
+    placed = off(scored).join(spread, F.col("lang").eqNullSafe(F.col("of")), "left")
+    unit = {k: F.when(F.col(f"{k}_off") < 0, -F.col(f"{k}_q")[0]).otherwise(F.col(f"{k}_q")[1]) for k in kinds}
+    place = {k: F.col(f"{k}_off") / F.greatest(unit[k], F.lit(0.2)) for k in kinds}
+    inside = [place[k].between(-low, high) for k, (low, high) in zip(kinds, (byte_band, word_band), strict=True)]
+    kept = ~F.col("base_failed") & F.coalesce(inside[0] & inside[1], F.lit(False))
+    return placed.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "byte_bits", place["byte"].alias("byte_place"), "word_bits", place["word"].alias("word_place"))

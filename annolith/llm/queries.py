@@ -9,6 +9,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .langid import held_out
+    from .mil import fit_quality, score_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = held_out("doc_id", 3, 1)
+    labels = table(spark, sf_dir, "labels").filter(~out).select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(docs, labels)
+    return score_documents(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import simhash_groups
 
@@ -76,5 +89,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, whole_repeats * size + greatest(0, least(size, rest - pos)) AS taken, whole_repeats FROM drawn
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_chat_formatting, op6_mixing, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
