@@ -45,6 +45,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer_path: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
     from .chat import format_conversations, read_back
 
@@ -61,6 +67,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "whole_repeats")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chaining import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 OP6_SQL = """
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5('7|' || doc_id::VARCHAR) AS draw
@@ -89,5 +101,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, whole_repeats * size + greatest(0, least(size, rest - pos)) AS taken, whole_repeats FROM drawn
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_decontamination, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
