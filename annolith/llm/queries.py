@@ -39,6 +39,12 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", out.alias("held_out"), F.col("lang_pred"), F.col("score"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_rules import quality_rules
 
@@ -101,5 +107,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, whole_repeats * size + greatest(0, least(size, rest - pos)) AS taken, whole_repeats FROM drawn
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_quality_rules, op4_decontamination, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_rules, op4_decontamination, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
