@@ -90,6 +90,15 @@ class Benchmark:
         at = np.minimum(np.searchsorted(self.keys, f[maybe]), len(self.keys) - 1)
         return maybe[self.keys[at] == f[maybe]]
 
+    def sharing(self, words: Words, h: np.ndarray) -> list[int]:
+        """The rows of a run that share a feature with an item."""
+        some: set[int] = set()
+        for k in [K, *self.short]:
+            f, ok = shingles(h, k), within(words.row, k)
+            at = self.hits(f)
+            some.update(words.row[at[ok[at]]].tolist())
+        return sorted(some)
+
     def within_radius(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each fingerprint, its index and the items within the radius, by the block tables."""
         for w, p in enumerate(prints):
@@ -172,12 +181,7 @@ def matcher(block: Benchmark, least: float):
         def run(batch):
             rows = []
             for lo, words, h in word_hashes(batch.column(1), hasher, table):
-                some = set()
-                for k in [K, *block.short]:
-                    f, ok = shingles(h, k), within(words.row, k)
-                    at = block.hits(f)
-                    some.update(words.row[at[ok[at]]].tolist())
-                for i in sorted(some):
+                for i in block.sharing(words, h):
                     doc = batch.column(0)[lo + i].as_py()
                     rows += [(doc, *m) for m in block.matches(h[words.first[i] : words.first[i + 1]], least)]
             return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t.type) for j, t in enumerate(arrow)], schema=arrow) if rows else None
@@ -187,6 +191,22 @@ def matcher(block: Benchmark, least: float):
     return make
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the documents that hold a benchmark item. Documents without an id stay out of the search and are kept."""
-    return docs.join(find_contamination(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias(id_col)).distinct(), id_col, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
+    """docs without the documents that hold a benchmark item. A filter for each block of the benchmark, without a shuffle."""
+    at, schema = docs.columns.index(text_col), docs.schema
+    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+        docs = docs.mapInArrow(clean_filter(block, least, at), schema)
+    return docs
+
+
+def clean_filter(block: Benchmark, least: float, column: int):
+    def run(batches):
+        hasher, table = Hasher(), byte_table(True)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for lo, words, h in word_hashes(batch.column(column), hasher, table):
+                for i in block.sharing(words, h):
+                    keep[lo + i] = not block.matches(h[words.first[i] : words.first[i + 1]], least)
+            yield batch.filter(pa.array(keep))
+
+    return run

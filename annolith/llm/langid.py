@@ -185,7 +185,7 @@ def held_out(id_col: str, parts: int, part: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(parts)) == part, F.lit(False))
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those whose language can't be told: no letter, or a score under `least`."""
 
     def run(batches):

@@ -73,6 +73,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "whole_repeats")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract_text, fit_labeller
+
+    return extract_text(table(spark, sf_dir, "pages"), fit_labeller())
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chaining import repeated_passages
 
@@ -107,5 +113,5 @@ WITH sized AS (
 SELECT doc_id, size, source_size, target, whole_repeats * size + greatest(0, least(size, rest - pos)) AS taken, whole_repeats FROM drawn
 """
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_rules, op4_decontamination, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_quality_rules, op4_decontamination, op5_chat_formatting, op6_mixing, op7_quality_classifier, op8_simhash_near_dedup, op9_html_extraction, op10_substring_dedup)}
 ORACLES: dict[str, str] = {"op6_mixing": OP6_SQL}
