@@ -1 +1,3 @@
 """Imports every module that registers queries."""
+
+from . import annotate, features, inference, retrieval, scoring, text, validation  # noqa: F401
