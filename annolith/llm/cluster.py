@@ -57,18 +57,27 @@ def _sweep() -> None:
             _delete(spark, path)
 
 
+def slices(batches, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about `most` bytes (or one row), so that what a worker makes of one stays small however long the texts."""
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            step = max(1, int(n * most / max(1, batch.nbytes)))
+            for lo in range(0, n, step):
+                yield batch.slice(lo, step)
+
+
 def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Run a function over Arrow batches; make() runs once in each task and returns it."""
 
     def run(batches):
         f = make()
-        for batch in batches:
-            if batch.num_rows:
-                out = f(batch)
-                if isinstance(out, pa.RecordBatch):
-                    yield out
-                elif out is not None:
-                    yield from out
+        for batch in slices(batches):
+            out = f(batch)
+            if isinstance(out, pa.RecordBatch):
+                yield out
+            elif out is not None:
+                yield from out
 
     return df.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mapped
+from .cluster import mapped, slices
 from .textkit import Hasher, Words, byte_table, majority, mix, runs, shingles, utf8, within
 
 K, BLOCKS, RADIUS = 5, 8, 23
@@ -202,7 +202,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, tex
 def clean_filter(block: Benchmark, least: float, column: int):
     def run(batches):
         hasher, table = Hasher(), byte_table(True)
-        for batch in batches:
+        for batch in slices(batches):
             keep = np.ones(batch.num_rows, bool)
             for lo, words, h in word_hashes(batch.column(column), hasher, table):
                 for i in block.sharing(words, h):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mapped
+from .cluster import mapped, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -190,7 +190,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.35,
 
     def run(batches):
         scorer = Scorer(model) if model.langs else None
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for text in batch.column(batch.schema.get_field_index(text_col)):
                 x = text.as_py()

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mapped, stage
+from .cluster import mapped, slices, stage
 from .textkit import Hasher, Words, byte_table, mix, runs, shingles, utf8, within
 
 ORDER = 5
@@ -69,7 +69,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     piece = slice(at, at + (1 << 17))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k[piece]), pa.string()), pa.array(k[piece].view(np.int64)), pa.array(n[piece])], ["lang", "g", "n"])
 
-        for batch in batches:
+        for batch in slices(batches, 16 << 20):
             langs = pc.fill_null(batch.column(1), "")
             for lang in pc.unique(langs).to_pylist():
                 raw, off = utf8(batch.column(0).filter(pc.equal(langs, lang)))
