@@ -78,7 +78,7 @@ def length_report(df: DataFrame, by: str, text: str) -> DataFrame:
     run = Window.partitionBy(by).orderBy("w")
     steps = counts.withColumn("upto", F.sum("c").over(run))
     array = steps.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("upto", "w"))).alias("s"), F.sum("c").alias("total"))
-    value = lambda place: F.filter("s", lambda x: x["upto"] >= place)[0]["w"]
+    value = lambda place: F.get(F.filter("s", lambda x: x["upto"] >= place), F.lit(0))["w"]
     at = lambda i: F.greatest(F.lit(1.0), F.least(F.col("total") - 1.0, F.floor(i * (F.col("total") + 1) / 10).cast("double")))
     decile = lambda i: value(at(i)) + (value(at(i) + 1) - value(at(i))) * (i * (F.col("total") + 1) / 10 - at(i))
     deciles = array.select(by, F.when(F.col("total") >= 10, F.array(*[F.round(decile(i), 1) for i in range(1, 10)])).otherwise(F.array().cast("array<double>")).alias("deciles"))
@@ -108,7 +108,7 @@ def harvest(mentioned: DataFrame, splitter=T.split_sentences) -> DataFrame:
     """(chunk_id, sentence, reason): the sentence around each chunk's mention, or which gate the chunk didn't pass."""
     m, text = F.col("mention"), F.coalesce("text", F.lit(""))
     cut = mentioned.withColumn("_s", splitter("text"))
-    around = F.filter("_s", lambda s: (s["start"] <= m["char_start"]) & (m["char_end"] <= s["end"]))[0]
+    around = F.get(F.filter("_s", lambda s: (s["start"] <= m["char_start"]) & (m["char_end"] <= s["end"])), F.lit(0))
     a, b = m["char_start"], m["char_end"]
     off = (a < 0) | (a >= b) | (b > F.length(text)) | (F.trim(text.substr(a + 1, b - a)) != F.trim(m["text_mention"]))
     reason = (

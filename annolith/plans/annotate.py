@@ -232,9 +232,11 @@ def o8(spark, sf_dir):
 
 def harvestable(spark, sf_dir):
     """Chunks from documents, with a mention of their third word."""
+    from ..functions.text import instr
+
     d = Tables(spark, sf_dir).documents
     word = F.regexp_extract("text", r"^(?:\S+\s+){2}(\S+)", 1)
-    a = F.locate(word, F.col("text")) - 1
+    a = instr(F.col("text"), word) - 1
     cand = F.struct(F.concat(F.lit("Q"), F.col("doc_id") % 5).alias("qid"), F.struct(F.lit(1.0).alias("hyperlinks"), F.lit(0.2).alias("entity_linking"), F.lit(0.0).alias("coref"), F.lit(0.0).alias("coref_cluster")).alias("scores_by_source"))
     mention = F.struct(a.alias("char_start"), (a + F.length(word)).alias("char_end"), word.alias("text_mention"), F.array(cand).alias("candidates"))
     return d.select(F.col("doc_id").alias("chunk_id"), "text", F.array(mention).alias("entities"))
