@@ -18,9 +18,9 @@ def arrays(spark, sf_dir):
     return S.option_arrays(Tables(spark, sf_dir).option_scores, "per_char", "logp", "logp_null", "n_chars")
 
 
-@query("w4_predictions", sql(f"SELECT question_id, (list_position(a, list_max(a)) - 1)::INT AS predicted, (list_position(a, list_max(a)) - 1 = g)::INT AS is_correct, len(list_filter(a, lambda x: x = list_max(a)))::INT AS n_ties, round(a[g + 1] - list_max(list_concat(a[:g], a[g + 2:])), 6) AS gold_margin FROM ({ARRAYS})", "option_scores"))
+@query("w4_predictions", sql(f"SELECT question_id, (list_position(a, list_max(a)) - 1)::INT AS predicted, (list_position(a, list_max(a)) - 1 = g)::INT AS is_correct, len(list_filter(a, lambda x: x = list_max(a)))::INT AS n_ties, a[g + 1] - list_max(list_concat(a[:g], a[g + 2:])) AS gold_margin FROM ({ARRAYS})", "option_scores"))
 def w4(spark, sf_dir):
-    return S.predictions(Tables(spark, sf_dir).option_scores, "per_char").withColumn("gold_margin", F.round("gold_margin", 6))
+    return S.predictions(Tables(spark, sf_dir).option_scores, "per_char")
 
 
 @query("g11_group_accuracy", sql("""SELECT model, question_group, count(*) AS n, sum(is_correct)::BIGINT AS n_correct, round(avg(is_correct), 6) AS accuracy, round(avg(gold_margin), 6) AS mean_margin, round(stddev_samp(gold_margin), 6) AS sd_margin,
@@ -209,16 +209,16 @@ def m7(spark, sf_dir):
     return arrays(spark, sf_dir).select("question_id", F.round(X.softmax(a)[0], 6).alias("p0"), F.round(X.softmax(a, 2.0)[0], 6).alias("warm"))
 
 
-@query("m8_log_p_correct", sql(f"SELECT question_id, round(a[g + 1] - (list_max(a) + ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a)))))), 6) AS log_p FROM ({ARRAYS})", "option_scores"))
+@query("m8_log_p_correct", sql(f"SELECT question_id, round(a[g + 1] - (list_max(a) + ln(list_sum(list_transform(a, lambda x: exp(x - list_max(a)))))), 6) + 0.0 AS log_p FROM ({ARRAYS})", "option_scores"))
 def m8(spark, sf_dir):
     a = F.col("per_char")
-    return arrays(spark, sf_dir).select("question_id", F.round(F.element_at(a, F.col("gold_index") + 1) - X.logsumexp(a), 6).alias("log_p"))
+    return arrays(spark, sf_dir).select("question_id", (F.round(F.element_at(a, F.col("gold_index") + 1) - X.logsumexp(a), 6) + 0.0).alias("log_p"))
 
 
-@query("m9_record_statistics", sql(f"SELECT question_id, c[g + 1] / n[g + 1] AS per_char, round(a[g + 1] - list_max(list_concat(a[:g], a[g + 2:])), 6) AS margin, list_position(a, list_max(a)) = g + 1 AS correct FROM ({ARRAYS})", "option_scores"))
+@query("m9_record_statistics", sql(f"SELECT question_id, c[g + 1] / n[g + 1] AS per_char, a[g + 1] - list_max(list_concat(a[:g], a[g + 2:])) AS margin, list_position(a, list_max(a)) = g + 1 AS correct FROM ({ARRAYS})", "option_scores"))
 def m9(spark, sf_dir):
     a, g = F.zip_with("logp", "n_chars", lambda x, n: x / n), F.col("gold_index")
-    return arrays(spark, sf_dir).select("question_id", F.element_at(a, g + 1).alias("per_char"), F.round(X.margin(a, g), 6).alias("margin"), (X.argmax(a) == g).alias("correct"))
+    return arrays(spark, sf_dir).select("question_id", F.element_at(a, g + 1).alias("per_char"), X.margin(a, g).alias("margin"), (X.argmax(a) == g).alias("correct"))
 
 
 @query("m10_scoring_rules", sql(f"SELECT question_id, c[1] AS cond_sum, c[1] / n[1] AS cond_per_char, c[1] - z[1] AS pmi_sum, (c[1] - z[1]) / n[1] AS pmi_per_char FROM ({ARRAYS})", "option_scores"))
@@ -232,9 +232,9 @@ def m11(spark, sf_dir):
     return arrays(spark, sf_dir).agg(F.round(F.avg(F.array_max("per_char") - X.mean(F.col("per_char"))), 6).alias("spread"))
 
 
-@query("m12_token_weighted", sql(f"SELECT question_id, round(list_sum(list_transform(c, lambda x, i: x * n[i])) / list_sum(n), 6) AS mean, round(c[g + 1] - list_max(list_concat(c[:g], c[g + 2:])), 6) AS margin FROM ({ARRAYS})", "option_scores"))
+@query("m12_token_weighted", sql(f"SELECT question_id, list_sum(list_transform(c, lambda x, i: x * n[i])) / list_sum(n) AS mean, c[g + 1] - list_max(list_concat(c[:g], c[g + 2:])) AS margin FROM ({ARRAYS})", "option_scores"))
 def m12(spark, sf_dir):
-    return arrays(spark, sf_dir).select("question_id", F.round(X.dot(F.col("logp"), F.col("n_chars")) / X.total(F.col("n_chars")), 6).alias("mean"), F.round(X.margin(F.col("logp"), F.col("gold_index")), 6).alias("margin"))
+    return arrays(spark, sf_dir).select("question_id", (X.dot(F.col("logp"), F.col("n_chars")) / X.total(F.col("n_chars"))).alias("mean"), X.margin(F.col("logp"), F.col("gold_index")).alias("margin"))
 
 
 @query("m13_kl", """WITH l AS (SELECT vec_id, [e - (list_max(x) + ln(list_sum([exp(f - list_max(x)) for f in x]))) for e in x] AS p FROM (SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS x FROM embeddings))

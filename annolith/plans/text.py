@@ -137,8 +137,8 @@ def t17(spark, sf_dir):
     return heads(spark, sf_dir).select("doc_id", *[F.array_contains(p, k).alias(k) for k in ("edge_space", "closing_mark", "prompt_words")])
 
 
-@query("t18_parse_letter", "SELECT doc_id, regexp_extract(substr(text, 1, 400), '\\b([A-D])\\b', 1) AS letter FROM documents")
-def t18(spark, sf_dir):
+@query("t18_parse_letter", "SELECT doc_id, regexp_extract(substr(text, 1, 400), '(?:^|[^\\pL\\pN_])([A-D])(?:[^\\pL\\pN_]|$)', 1) AS letter FROM documents")
+def t18(spark, sf_dir):  # a letter stands alone between characters that aren't letters of any alphabet
     return Tables(spark, sf_dir).documents.select("doc_id", T.parse_letter(F.substring("text", 1, 400)).alias("letter"))
 
 
