@@ -22,6 +22,8 @@ from .textkit import Hasher, Words, byte_table, mix, runs, shingles, utf8, withi
 
 ORDER = 5
 SLOT_BITS = 22
+#: Languages with a model and bands of their own, the most frequent; further ones are taken as one, named "". What is broadcast has at most a row for each.
+MOST_LANGS = 1_000
 #: The characters that n_symbols counts.
 SYMBOLS = b"#*$%&|<>"
 
@@ -39,15 +41,25 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def slots(gram: np.ndarray, lang: int, k: int) -> np.ndarray:
-    """A 32-bit hash of an n-gram of order k in a language."""
-    return (mix(gram ^ np.uint64(lang << 40 | k << 61)) >> np.uint64(32)).astype(np.uint32)
+def slots(gram: np.ndarray, lang: np.ndarray | int, k: int) -> np.ndarray:
+    """A 32-bit hash of each n-gram of order k in its language's key (one for all, or one each)."""
+    return (mix(gram ^ (np.uint64(lang) << np.uint64(40) | np.uint64(k << 61))) >> np.uint64(32)).astype(np.uint32)
 
 
 def lang_key(lang: str | None) -> int:
     return crc32((lang or "").encode()) & 0xFFFFF
 
 
+def frequent_languages(docs: DataFrame, lang_col: str) -> list[str]:
+    top = docs.filter(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    return [r.lang for r in top.collect()]
+
+
+def language(lang_col: str, langs: list[str]):
+    """A document's language if it is one of langs, else the empty string, as for null."""
+    return F.when(F.col(lang_col).cast("string").isin(*langs), F.col(lang_col).cast("string")).otherwise("") if langs else F.lit("")
+
+
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, g, n): counts of all ORDER-grams of all texts by language, combined in each task before they are shuffled."""
 
@@ -116,7 +128,7 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
         cut = lambda i, a, b: F.greatest(F.lit(0.1 * i), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(b, a), F.lit(0.5 * i)))).alias(f"d{i}")  # noqa: B023, E731
         d = d.select("lang", cut(1, "t1", "t2"), cut(2, "t2", "t3"), cut(3, "t3", "t4"))
         less = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams_k = by_order[k].join(d, "lang").withColumn("less", F.least(less, F.col("c"))).drop("d1", "d2", "d3").withColumn("ctx", F.shiftright("g", 8))
+        grams_k = by_order[k].join(F.broadcast(d), "lang").withColumn("less", F.least(less, F.col("c"))).drop("d1", "d2", "d3").withColumn("ctx", F.shiftright("g", 8))
         ctx = grams_k.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), (F.sum("less") / F.sum("c")).alias("gamma"))
         p = grams_k.join(ctx, ["lang", "ctx"])
         if lower is None:
@@ -155,40 +167,62 @@ def hash_array(df: DataFrame, key: str, value: str, k: int) -> tuple[np.ndarray,
 class HashModel:
     """Log probabilities and back-off weights in sorted hash arrays."""
 
-    def __init__(self, p: list, gamma: list):
-        self.p, self.gamma = p, gamma
+    def __init__(self, p: list, gamma: list, langs: list[str]):
+        self.p, self.gamma, self.langs = p, gamma, langs
 
     @staticmethod
     def find(arrays, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is in the array, and its value if so. In order of the hashes, so that the search walks through memory once."""
         keys, values = arrays
         if not len(keys):
             return np.zeros(len(h), bool), np.zeros(len(h), np.float32)
-        at = np.searchsorted(keys, h)
+        order = np.argsort(h)
+        at = np.empty(len(h), np.int64)
+        at[order] = np.searchsorted(keys, h[order])
         at[at == len(keys)] = 0
         return keys[at] == h, values[at]
 
-    def log_probs(self, data: np.ndarray, lang: int) -> np.ndarray:
-        """Natural log of the probability of each byte after the ORDER - 1 before it."""
+    def log_probs(self, data: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+        """Natural log of the probability of each byte after the ORDER - 1 before it. lang: the language's key, for all or for each position."""
         g = grams(data, ORDER)
+        lang = np.broadcast_to(np.asarray(lang, np.uint64), len(g))
         out = np.zeros(len(g), np.float32)
         left = np.arange(len(g))
         for k in range(ORDER, 0, -1):
-            sub = g[left] & np.uint64((1 << 8 * k) - 1)
-            hit, v = self.find(self.p[k - 1], slots(sub, lang, k))
+            of, sub = lang[left], g[left] & np.uint64((1 << 8 * k) - 1)
+            hit, v = self.find(self.p[k - 1], slots(sub, of, k))
             out[left[hit]] += v[hit]
-            left, sub = left[~hit], sub[~hit]
+            left, sub, of = left[~hit], sub[~hit], of[~hit]
             if not len(left):
                 break
-            hit, v = self.find(self.gamma[k - 1], slots(sub >> np.uint64(8), lang, k))
+            hit, v = self.find(self.gamma[k - 1], slots(sub >> np.uint64(8), of, k))
             out[left[hit]] += v[hit]
         else:
             out[left] += np.float32(np.log(1 / 256))
         return out
 
+    def text_bits(self, data: np.ndarray, off: np.ndarray, langs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bits, bytes) of each text of a run: the sum of -log2 probabilities and how many bytes it is over. Works through SLICE bytes at a time."""
+        n = len(off) - 1
+        bits = np.zeros(n)
+        counts = np.maximum(np.diff(off) - ORDER + 1, 0)
+        for lo in range(0, max(len(data) - ORDER + 1, 0), SLICE):
+            part = data[lo : lo + SLICE + ORDER - 1]
+            at = np.arange(lo, lo + len(part) - ORDER + 1)
+            row = np.searchsorted(off, at, "right") - 1
+            p = self.log_probs(part, langs[row])
+            p[at + ORDER > off[row + 1]] = 0  # reaches into the next text
+            bits -= np.bincount(row, weights=p, minlength=n)
+        return bits / np.log(2), counts
+
+
+SLICE = 1 << 19
+
 
 def fit_kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> HashModel:
-    tables = kneser_ney(gram_counts(docs, text_col, lang_col))
-    return HashModel([hash_array(p, "g", "p", k) for k, (p, _) in enumerate(tables, 1)], [hash_array(c, "ctx", "gamma", k) for k, (_, c) in enumerate(tables, 1)])
+    langs = frequent_languages(docs, lang_col)
+    tables = kneser_ney(gram_counts(docs.select(text_col, language(lang_col, langs).alias("_lang")), text_col, "_lang"))
+    return HashModel([hash_array(p, "g", "p", k) for k, (p, _) in enumerate(tables, 1)], [hash_array(c, "ctx", "gamma", k) for k, (_, c) in enumerate(tables, 1)], langs)
 
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -247,6 +281,7 @@ def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", tex
         def run(batch):
             raw, off = utf8(batch.column(1))
             langs = batch.column(2).to_pylist()
+            keys = {x: lang_key(x) for x in set(langs)}
             out: list[list] = [[] for _ in range(7)]
             for lo, hi in runs(off):
                 data, o = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
@@ -254,17 +289,10 @@ def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", tex
                 h = hasher.spans(words.data, words.starts, words.ends)
                 for x, y in zip(out, base_statistics(data, o, words, h, hasher, symbol), strict=False):
                     x.append(y)
-                byte_bits, word_bits = np.full(hi - lo, np.nan), np.full(hi - lo, np.nan)
-                count = np.diff(words.first)
-                for i in range(hi - lo):
-                    one = data[o[i] : o[i + 1]]
-                    if len(one) >= ORDER:
-                        key, total = lang_key(langs[lo + i]), 0.0
-                        for at in range(0, len(one) - ORDER + 1, 1 << 19):
-                            total += float(model.log_probs(one[at : at + (1 << 19) + ORDER - 1], key).sum(dtype=np.float64))
-                        byte_bits[i] = -total / np.log(2) / (len(one) - ORDER + 1)
-                        if count[i]:
-                            word_bits[i] = -total / np.log(2) / count[i]
+                total, count = model.text_bits(data, o, np.array([keys[x] for x in langs[lo:hi]], np.uint64))
+                byte_bits = np.divide(total, count, out=np.full(hi - lo, np.nan), where=count > 0)
+                n_words = np.diff(words.first)
+                word_bits = np.divide(total, n_words, out=np.full(hi - lo, np.nan), where=(count > 0) & (n_words > 0))
                 out[5].append(byte_bits)
                 out[6].append(word_bits)
             cols = [pa.array(np.concatenate(x)).cast(pa.int64()) for x in out[:5]] + [pa.array(np.concatenate(x), from_pandas=True) for x in out[5:]]
@@ -272,7 +300,7 @@ def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", tex
 
         return run
 
-    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")), make, f"doc_id long, lang string, {BASE}, byte_bits double, word_bits double")
+    return mapped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), language(lang_col, model.langs).alias("lang")), make, f"doc_id long, lang string, {BASE}, byte_bits double, word_bits double")
 
 
 def quality_rules(docs: DataFrame, model: HashModel | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", byte_band: tuple[float, float] = (7.0, 7.0), word_band: tuple[float, float] = (6.0, 6.0)) -> DataFrame:
@@ -290,9 +318,9 @@ def quality_rules(docs: DataFrame, model: HashModel | None = None, id_col: str =
     good = scored.filter("not base_failed")
     kinds = ("byte", "word")
     mid = good.groupBy(F.col("lang").alias("of")).agg(*[F.percentile_approx(f"{k}_bits", 0.5, 10_000).alias(f"{k}_mid") for k in kinds])
-    off = lambda d: d.join(mid, F.col("lang").eqNullSafe(F.col("of")), "left").drop("of").withColumns({f"{k}_off": (F.col(f"{k}_bits") - F.col(f"{k}_mid")) * F.sqrt("n_words") for k in kinds})
+    off = lambda d: d.join(F.broadcast(mid), F.col("lang") == F.col("of"), "left").drop("of").withColumns({f"{k}_off": (F.col(f"{k}_bits") - F.col(f"{k}_mid")) * F.sqrt("n_words") for k in kinds})
     spread = off(good).groupBy(F.col("lang").alias("of")).agg(*[F.percentile_approx(f"{k}_off", [0.25, 0.75], 10_000).alias(f"{k}_q") for k in kinds])
-    placed = off(scored).join(spread, F.col("lang").eqNullSafe(F.col("of")), "left")
+    placed = off(scored).join(F.broadcast(spread), F.col("lang") == F.col("of"), "left")
     unit = {k: F.when(F.col(f"{k}_off") < 0, -F.col(f"{k}_q")[0]).otherwise(F.col(f"{k}_q")[1]) for k in kinds}
     place = {k: F.col(f"{k}_off") / F.greatest(unit[k], F.lit(0.2)) for k in kinds}
     inside = [place[k].between(-low, high) for k, (low, high) in zip(kinds, (byte_band, word_band), strict=True)]
