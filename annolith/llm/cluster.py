@@ -103,15 +103,21 @@ def in_bitmap(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
 
 
 def large_star(e: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is linked to the least of the node and its neighbours. Staged, as is the table of the least, so that the join can be split where a hub has most of the edges."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    out = stage(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    drop(least)
+    return out
 
 
 def small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    """A node and its smaller neighbours are linked to the least of them. e has the larger node as u."""
+    least = stage(e.groupBy("u").agg(F.min("v").alias("m")))
     linked = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    out = stage(linked.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    drop(least)
+    return out
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -125,8 +131,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        was, e = e, stage(small_star(large_star(e)))
-        drop(was)
+        wide = large_star(e)
+        drop(e)
+        e = small_star(wide)
+        drop(wide)
         now = mark(e)
         if now == seen:
             break

@@ -88,8 +88,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = stage(fingerprints(docs, id_col, text_col, k, seed))
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(fingerprint_links(distinct.select("fp"), radius))
-    named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    of = stage(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"))
+    # both sides are staged, so that a component with most of the fingerprints is a join that can be split
+    named = stage(distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = stage(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    of = stage(named.join(least, "root").select("fp", "component_id"))
     return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
