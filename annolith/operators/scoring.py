@@ -44,21 +44,29 @@ def tie_log(ranked: DataFrame, by: list[str], keys: list[str]) -> DataFrame:
     return out.select(*by, "rank", "label", F.col("_next.label").alias("next_label"))
 
 
-def parse_config(label: Column) -> Column:
-    """A candidate's label as (method, topic, hyperparameters, tie-break): family_topic_parameters, by family."""
+#: Kinds of candidate labels, family_topic_parameters: a delta (d0.35), a layer, band and strength (L9mid_a250), a selection and side (ratio_in).
+FAMILIES = {"mf": ("MF", "delta"), "rmu": ("RMU", "layered"), "snmf": ("SNMF", "sided")}
+
+
+def parse_config(label: Column, families: dict[str, tuple[str, str]] = FAMILIES) -> Column:
+    """A candidate's label as (method, topic, tie-break); null if its family isn't known.
+
+    families: method name and kind by family. The tie-break orders milder candidates first: the smaller delta; the
+    lower layer, the middle band, the smaller strength; ratio before other selections, in before out before both."""
     part = lambda i: F.get(F.split(label, "_"), F.lit(i))
     fam = F.lower(part(0))
     layer, band = F.regexp_extract(part(2), r"^L(\d+)(hi|mid)", 1), F.regexp_extract(part(2), r"^L(\d+)(hi|mid)", 2)
     number = lambda x: F.coalesce(F.substring(x, 2, 30).try_cast("double"), F.lit(0.0))
     side = F.coalesce(part(3), F.lit(""))
-    names = {"ember": "EMBER", "rmu": "RMU", "snmf": "SNMF", "rmuember": "RMU+EMBER", "snmfv1": "SNMF+EMBER-V1", "snmfv2": "SNMF+EMBER"}
-    method = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), fam)
     key = lambda a, b, c: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"))
     zero = F.lit(0.0)
-    layered = key(F.coalesce(layer.try_cast("int"), F.lit(0)), F.when(band == "mid", 0).otherwise(1), number(part(3)))
-    sided = key(F.when(part(2) == "ratio", 0).otherwise(1), F.when(side == "in", 0).when(side == "out", 1).when(side == "both", 2).otherwise(9), zero)
-    tiebreak = F.when(fam == "ember", key(number(part(2)), zero, zero)).when(fam.isin("rmu", "rmuember"), layered).otherwise(sided)
-    return F.when(method.isNotNull(), F.struct(method.alias("method"), part(1).alias("topic"), tiebreak.alias("tiebreak")))
+    kinds = {
+        "delta": key(number(part(2)), zero, zero),
+        "layered": key(F.coalesce(layer.try_cast("int"), F.lit(0)), F.when(band == "mid", 0).otherwise(1), number(part(3))),
+        "sided": key(F.when(part(2) == "ratio", 0).otherwise(1), F.when(side == "in", 0).when(side == "out", 1).when(side == "both", 2).otherwise(9), zero),
+    }
+    cases = [F.when(fam == f, F.struct(F.lit(method).alias("method"), part(1).alias("topic"), kinds[kind].alias("tiebreak"))) for f, (method, kind) in families.items()]
+    return F.coalesce(*cases)
 
 
 def selection_table(acc: DataFrame, full: DataFrame) -> DataFrame:

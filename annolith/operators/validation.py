@@ -74,3 +74,16 @@ def equal_rows(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     j = a.alias("a").join(b.alias("b"), key)
     off = F.filter(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in names]), lambda x: x.isNotNull())
     return j.select(key, off.alias("differs")).filter(F.size("differs") > 0)
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "item_id", item_text: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
+    """(key) of the items that stand word for word in some document.
+
+    The items are a stated set of queries against all documents: they are sent to the executors in blocks of a checked
+    size, one after the other, and only keys come back."""
+    rows = items.select(key, F.col(item_text).alias("_item")).filter("_item is not null")
+    size = rows.agg(F.sum(F.octet_length("_item")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-size // block_bytes))
+    parts = [rows.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b) for b in range(blocks)]
+    found = [docs.select(F.col(text).alias("_doc")).join(F.broadcast(p), F.contains("_doc", "_item")).select(key).distinct() for p in parts]
+    return reduce(DataFrame.unionByName, found)

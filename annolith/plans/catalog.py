@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import annotate, features, inference, retrieval, scoring, text, validation  # noqa: F401
+from . import annotate, composites, features, inference, retrieval, scoring, sources, text, validation  # noqa: F401

@@ -169,11 +169,11 @@ def w3(spark, sf_dir):
     return S.tie_log(ranked(spark, sf_dir), ["topic", "method"], ["h", "u"])
 
 
-@query("p16_parse_labels", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'EMBER' WHEN 1 THEN 'RMU' ELSE 'SNMF' END AS method, 'rome' AS topic,
+@query("p16_parse_labels", """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'MF' WHEN 1 THEN 'RMU' ELSE 'SNMF' END AS method, 'rome' AS topic,
 CASE p_partkey % 3 WHEN 0 THEN p_size / 10 WHEN 1 THEN p_size ELSE 1 END::DOUBLE AS a, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END ELSE 2 END::DOUBLE AS b, CASE p_partkey % 3 WHEN 1 THEN 100 ELSE 0 END::DOUBLE AS c FROM part""")
 def p16(spark, sf_dir):
     k, s = F.col("p_partkey") % 3, F.col("p_size")
-    label = F.when(k == 0, F.concat(F.lit("ember_rome_d"), (s / 10).cast("string"))).when(k == 1, F.concat(F.lit("rmu_rome_L"), s, F.when(s % 2 == 0, "mid").otherwise("hi"), F.lit("_a100"))).otherwise("snmf_rome_judge_both")
+    label = F.when(k == 0, F.concat(F.lit("mf_rome_d"), (s / 10).cast("string"))).when(k == 1, F.concat(F.lit("rmu_rome_L"), s, F.when(s % 2 == 0, "mid").otherwise("hi"), F.lit("_a100"))).otherwise("snmf_rome_judge_both")
     return Tables(spark, sf_dir).part.select("p_partkey", S.parse_config(label).alias("x")).select("p_partkey", "x.method", "x.topic", "x.tiebreak.*")
 
 

@@ -210,10 +210,7 @@ def v8(spark, sf_dir):
 
 @query("u3_leakage_by_text", "SELECT DISTINCT item_id FROM benchmark b WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text))")
 def u3_text(spark, sf_dir):
-    # a stated, size-checked set of items against all documents
+    from ..operators.validation import leaked_items
+
     t = Tables(spark, sf_dir)
-    first = t.benchmark.select("item_id", F.col("text").alias("item"))
-    size = first.agg(F.sum(F.octet_length("item")).alias("n")).first()["n"] or 0
-    if size > 8_000_000:
-        raise ValueError("the items are too large to send to every executor; use the shingle join")
-    return t.documents.select("text").join(F.broadcast(first), F.contains("text", "item"), "inner").select("item_id").distinct()
+    return leaked_items(t.documents, t.benchmark)

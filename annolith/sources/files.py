@@ -226,3 +226,32 @@ def _table(df, most, line, rule) -> str:
         raise ValueError(f"a report holds at most {most} rows")
     cell = lambda x: "" if x is None else f"{x:.4f}" if isinstance(x, float) else str(x)
     return "\n".join([line(df.columns), rule(len(df.columns)), *[line([cell(x) for x in r]) for r in rows]])
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a local one only where none is set and the master is local."""
+    import tempfile
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="annolith-")
+    return f"{at.rstrip('/')}/annolith-{name}-{uuid.uuid4().hex}"
+
+
+def select_items(items: DataFrame, wanted: DataFrame, key: str = "idx", choices: str = "choices") -> DataFrame:
+    """Items of the wanted indices that have exactly four choices."""
+    return items.join(wanted.select(key).distinct(), key, "left_semi").filter(F.size(choices) == 4)
+
+
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """(label, path, topic, method) of the folders under a root, run suffixes stripped. The driver lists folder names, no files."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+    names = [(x.getPath().getName(), x.getPath().toString()) for x in found if x.isDirectory()]
+    rows = spark.createDataFrame(names, "name string, path string").withColumn("label", strip_run_suffix(F.col("name")))
+    part = lambda i: F.get(F.split("label", "_"), F.lit(i))
+    return rows.select("label", "path", part(1).alias("topic"), part(0).alias("method"))

@@ -207,7 +207,7 @@ def test_parse_config(spark):
     get = lambda label: one(spark, SC.parse_config(F.col("x")), x=label)
     x = get("rmu_rome_L9mid_a250")
     assert (x.method, x.topic, tuple(x.tiebreak)) == ("RMU", "rome", (9.0, 0.0, 250.0))
-    assert get("snmfv2_ai_ratio_out").method == "SNMF+EMBER" and tuple(get("ember_ai_d0.35").tiebreak) == (0.35, 0.0, 0.0)
+    assert tuple(get("snmf_ai_judge_out").tiebreak) == (1.0, 1.0, 0.0) and tuple(get("mf_ai_d0.35").tiebreak) == (0.35, 0.0, 0.0)
     assert get("other_x") is None
 
 
