@@ -39,6 +39,8 @@ BOUNDS = frozenset("ul ol dl table menu nav article section div main aside heade
 
 PATH_DIM, WORD_DIM, COUNT_DIM = 96, 24, 14
 WIDTH = PATH_DIM + WORD_DIM + COUNT_DIM
+#: Share of the training pages whose words are hidden, so that tag paths and context decide.
+WORDS_DROPPED = 0.8
 
 
 class Block:
@@ -261,13 +263,14 @@ class BlockLabeller:
         groups = {"a": self.ahead.w, "b": self.behind.w, "o": self.w}
         m = {(g, k): np.zeros_like(v) for g, w in groups.items() for k, v in w.items()}
         v = {k: np.zeros_like(x) for k, x in m.items()}
+        mean = {k: groups[k[0]][k[1]].copy() for k in m}
         for epoch in range(epochs):
             order = sorted(range(len(pages)), key=lambda i: (len(pages[i]) // 8, r.random()))
             cuts = [order[i : i + size] for i in range(0, len(order), size)]
             for c in r.permutation(len(cuts)):
                 x, mask = self.batch([pages[i] for i in cuts[c]])
                 # words or counts alone shall not decide
-                x[:, r.random(x.shape[1]) < 0.9, PATH_DIM : PATH_DIM + WORD_DIM] = 0
+                x[:, r.random(x.shape[1]) < WORDS_DROPPED, PATH_DIM : PATH_DIM + WORD_DIM] = 0
                 x[:, r.random(x.shape[1]) < 0.3, PATH_DIM + WORD_DIM :] = 0
                 y = np.zeros_like(mask)
                 for j, i in enumerate(cuts[c]):
@@ -287,6 +290,9 @@ class BlockLabeller:
                     v[key] = 0.99 * v[key] + 0.01 * g**2
                     w = groups[key[0]]
                     w[key[1]] -= rate * 0.75**epoch * (m[key] / (1 - 0.9**step) / (np.sqrt(v[key] / (1 - 0.99**step)) + 1e-8) + 0.03 * w[key[1]])
+                    mean[key] += 0.01 * (w[key[1]] - mean[key])
+        for (g, k), x in mean.items():  # the running mean of the weights labels more steadily than the last of them
+            groups[g][k] = x
 
     def label(self, pages: list[np.ndarray], most: int = 60_000) -> list[np.ndarray]:
         """Whether each block is article text. Pages of like length are labelled together, of at most `most` blocks with padding."""
@@ -298,7 +304,9 @@ class BlockLabeller:
             while hi < len(order) and hi - lo < 512 and len(pages[order[hi]]) * (hi + 1 - lo) <= most:
                 hi += 1
             part = order[lo:hi]
-            p = self.forward(*self.batch([pages[i] for i in part]))[0]
+            x, mask = self.batch([pages[i] for i in part])
+            x[:, :, PATH_DIM : PATH_DIM + WORD_DIM] *= 1 - WORDS_DROPPED  # their mean in training
+            p = self.forward(x, mask)[0]
             for j, i in enumerate(part):
                 out[i] = p[: len(pages[i]), j] >= 0.5
             lo = hi
@@ -309,7 +317,7 @@ class PageWriter:
     """Seeded pages with a label for each block."""
 
     #: Names that layouts give to their parts.
-    CONTENT = ["article", "main", "div.content", "div#content", "div.post", "div.post-content", "div.entry-content", "div.article-body", "section.story", "div#main", "div.text", "div.page article", "main article", "section", "div.container main", "div"]
+    CONTENT = ["article", "article", "article", "article.post", "main", "main", "div.content", "div#content", "div.post", "div.post-content", "div.entry-content", "div.article-body", "section.story", "div#main", "div.text", "div.page article", "main article", "section", "div.container main", "div"]
     OUTSIDE = {
         "links": ["nav", "nav.menu", "ul.menu", "div.nav", "div#navigation", "div.navbar", "div.breadcrumb", "ul.pagination", "div.related", "div.tags", "div.social", "div.share-buttons", "header nav", "aside.links", "div.toc", "div.recommended", "div.most-read"],
         "short": ["header", "div.header", "div#header", "div.top-bar", "div.logo", "div.login", "div.search", "div.byline-box widget", "header.site-header"],
@@ -365,7 +373,7 @@ class PageWriter:
                 self.out.append(f"<p><label>{self.mark(phrase + self.words(r.randint(1, 6)), 0)}</label><input type=text></p>")
         elif kind == "talk":
             for _ in range(r.randint(1, 5)):
-                inner = self.opened(r.choice(("div", "li", "article", "div.comment", "div.comment-body", "div.reply")))
+                inner = self.opened(r.choice(("div", "div", "li", "li", "article.comment", "div.comment", "div.comment-body", "div.reply")))
                 if r.random() < 0.6:
                     self.out.append(f"<span>{self.mark(phrase + self.words(2), 0)}</span>")
                 self.out.append("".join(f"<p>{self.mark(self.words(r.randint(3, 70)), 0)}</p>" for _ in range(r.randint(1, 3))) + inner)
@@ -381,7 +389,7 @@ class PageWriter:
         close = self.opened(r.choice(self.CONTENT))
         if r.random() < 0.85:
             self.out.append(f"<h1>{self.mark(self.words(r.randint(2, 14)), 1)}</h1>")
-        for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14, 25))):
+        for _ in range(r.choice((1, 1, 2, 3, 5, 8, 14, 25, 60))):
             x = r.random()
             size = r.choice((1, 2, 4, 10, 30, 60, 120))
             if x < 0.78:
@@ -396,6 +404,8 @@ class PageWriter:
                 self.out.append(f"<blockquote><p>{self.mark(self.words(size), 1)}</p></blockquote>")
             else:
                 self.outside(r.choice(("note", "links", "form")))
+        if r.random() < 0.12:  # within the article, but not its text
+            self.outside(r.choice(("talk", "foot", "links")))
         self.out.append(close)
 
     def page(self) -> str:
@@ -426,7 +436,7 @@ def labelled_blocks(page: str) -> tuple[list[tuple[Block, str]], np.ndarray]:
     return found, np.array(labels, float)
 
 
-def fit_labeller(pages: int = 3_600, seed: int = 29) -> BlockLabeller:
+def fit_labeller(pages: int = 3_000, seed: int = 29) -> BlockLabeller:
     """Train on `pages` generated pages."""
     vectors, xs, ys = Vectors(), [], []
     for i in range(pages):
