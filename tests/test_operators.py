@@ -372,3 +372,39 @@ def test_stream_masks(spark, tmp_path):
     counts = incremental.exclusion_counts(incremental.masked_stream(stream, spark.createDataFrame([(10,), (11,)], "chunk_id long")))
     counts.writeStream.format("memory").queryName("masked").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert {(r.step, r.n_excluded) for r in spark.table("masked").collect()} == {(1, 2), (2, 0)}
+
+
+# plug-ins and pipelines
+
+
+def test_registries():
+    from annolith.functions import plugins
+
+    r = plugins.Registry("thing")
+    assert r.register("a")(len) is len and r.get("a") is len
+    with pytest.raises(ValueError):
+        r.register("a")(max)
+    with pytest.raises(KeyError, match="there are a"):
+        r.get("b")
+    with pytest.raises(NotImplementedError):
+        plugins.judges.get("describe")("tokens")
+    assert set(plugins.statistics.known) == set(X.STATISTICS)
+
+
+def test_harvest_pipeline_is_the_same_again(spark, sf):
+    from annolith.plans import registry
+
+    f = registry.queries()["cc_sentence_harvest"]
+    a, b = (sorted(map(tuple, f(spark, sf).collect())) for _ in range(2))
+    assert a == b and len(a) == len({r[0] for r in a}) > 20
+    per = {}
+    for r in a:
+        per[r[1]] = per.get(r[1], 0) + 1
+    assert max(per.values()) - min(per.values()) <= max(per.values()) // 2  # the pools give in turn
+
+
+def test_leaked_items_in_blocks(spark):
+    docs = spark.createDataFrame([("one two three",), (None,), ("four",)], "text string")
+    items = spark.createDataFrame([(1, "two"), (2, "five"), (3, None), (4, "four")], "item_id long, text string")
+    for size in (4_000_000, 3):
+        assert sorted(r.item_id for r in V.leaked_items(docs, items, block_bytes=size).collect()) == [1, 4]
