@@ -135,7 +135,8 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
 
 def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 20_000, most_words: int = 60_000, most_langs: int = 250) -> LanguageModel:
     """Learn from about `sample_rows` labelled rows. The model has the `most_words` words of largest share in their language, in at most `most_langs` languages: both bound what reaches the driver and the executors."""
-    rows = bounded(labelled.select(id_col, text_col, lang_col).dropna(subset=[text_col, lang_col]), sample_rows, id_col)
+    # the sample is drawn before texts are looked at, so that counting the rows reads no text
+    rows = bounded(labelled.select(id_col, text_col, lang_col).dropna(subset=[lang_col]), sample_rows, id_col).dropna(subset=[text_col])
     counts = word_counts(rows, text_col, lang_col).cache()
     try:
         totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
