@@ -52,7 +52,13 @@ def mix_sources(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1,
     depends on the seed, the ids and the sizes alone, so reruns agree. Columns of docs with the names of the result's
     are replaced. An empty table gives an empty result."""
     docs = docs.drop(*[c for c in OUT if c in docs.columns and c not in (id_col, text_col, source_col)])
-    sized = docs.withColumn("_mix_size", word_count(F.col(text_col))).withColumn("_mix_draw", F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))).withColumn("_mix_bin", F.substring("_mix_draw", 1, 3))
+    return mix_sized(docs.withColumn("_mix_size", word_count(F.col(text_col))), epochs, weights, seed, id_col, source_col)
+
+
+def mix_sized(docs: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 7, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """As mix_sources(), of rows whose sizes are counted already, in _mix_size; that column is left out of the result."""
+    sized = docs.withColumn("_mix_draw", F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")))).withColumn("_mix_bin", F.substring("_mix_draw", 1, 3))
+    docs = docs.drop("_mix_size")
     bins = sized.groupBy(F.col(source_col).alias("source"), F.col("_mix_bin").alias("bin")).agg(F.sum("_mix_size").alias("n"))
     levels = water_levels(bins.groupBy("source").agg(F.sum("n").alias("source_size")), epochs, weights)
     earlier = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)

@@ -67,10 +67,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str, tokenizer_path: str =
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .mixing import mix_sources
+    from pyspark.sql import functions as F
+
+    from .cluster import stage
+    from .mixing import OUT, mix_sized, word_count
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken", "whole_repeats")
+    # the texts are read once: what the mix needs of them is their sizes
+    sizes = stage(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("_mix_size")))
+    return mix_sized(sizes).select("doc_id", *OUT)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
