@@ -107,6 +107,22 @@ def test_line_dedup_brute_force(spark, monkeypatch):
             assert (got[d].n_lines, got[d].n_removed) == (4, 4 - len(keep))
 
 
+def test_line_dedup_recall_without_the_fingerprint(spark):
+    r, rows, groups = random.Random(21), [], 0
+    for n in (3, 5, 9, 20, 40):
+        for k in range(40):
+            a = prose(f"{n} {k}", n).split()
+            b = list(a)
+            for i in r.sample(range(n), max(1, n // 10)):
+                b[i] = b[i][:-1] + "q" if n < 9 else prose(r.random(), 1)
+            x, y = " ".join(a), " ".join(b)
+            if levenshtein(x.encode(), y.encode()) <= 0.2 * max(len(x), len(y)):
+                rows += [(len(rows), x), (len(rows) + 1, y)]
+                groups += 1
+    got = line_dedup.dedup_lines(documents(spark, rows)).agg(F.sum("n_removed")).first()[0]
+    assert groups > 100 and 0.97 * groups <= got <= 1.03 * groups
+
+
 def test_line_dedup_edges(spark, edge, nothing):
     got = line_dedup.dedup_lines(edge.withColumn("n_lines", F.lit("x"))).collect()
     by = {r.doc_id: r for r in got}
