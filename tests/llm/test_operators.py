@@ -518,6 +518,18 @@ def test_repeated_passages_brute_force(spark):
     assert all(sum(p.n_words for p in x.passages) == x.n_repeated_words and len(x.passages) == x.n_passages for x in got.values())
 
 
+def test_repeated_passages_recall_of_edits(spark):
+    r, rows = random.Random(31), []
+    for n, every in ((50, 20), (60, 10), (80, 8), (60, 6), (50, 5)):
+        for k in range(6):
+            part = prose(f"{n} {every} {k}", n).split()
+            other = [f"x{r.randrange(10**9)}" if i % every == every // 2 else w for i, w in enumerate(part)]
+            for p in (part, other):
+                rows.append((len(rows), " ".join([prose(r.random(), 60), *p, prose(r.random(), 60)])))
+    got = {x.doc_id for x in chaining.repeated_passages(documents(spark, rows)).collect()}
+    assert len(got) >= 0.97 * len(rows)
+
+
 def test_repeated_passages_edges(spark, edge, nothing):
     got = chaining.repeated_passages(edge).collect()
     assert sorted(r.doc_id for r in got) == [5, 5, 6] and {r.n_repeated_words for r in got} == {80}
