@@ -530,6 +530,22 @@ def test_repeated_passages_recall_of_edits(spark):
     assert len(got) >= 0.97 * len(rows)
 
 
+def test_repeated_passages_with_common_phrases_and_repeats(spark):
+    rows, pairs = [], []
+    for k in range(12):  # pairs of 50 words that hold a phrase which many other texts hold
+        phrase, part = prose(f"phrase {k}", 26), prose(f"part {k}", 24)
+        pairs += [len(rows), len(rows) + 1]
+        rows += [(len(rows) + i, f"{prose(f'a {k} {i}', 40)} {phrase} {part} {prose(f'b {k} {i}', 40)}") for i in range(2)]
+        rows += [(len(rows) + i, f"{prose(f'c {k} {i}', 40)} {phrase} {prose(f'd {k} {i}', 40)}") for i in range(6)]
+    twice = []
+    for k in range(6):  # one says twice what the other says once
+        part = prose(f"twice {k}", 60)
+        twice.append(len(rows))
+        rows += [(len(rows), f"{part} {prose(f'e {k}', 50)} {part}"), (len(rows) + 1, f"{prose(f'f {k}', 30)} {part}")]
+    got = {x.doc_id: x for x in chaining.repeated_passages(documents(spark, rows)).collect()}
+    assert set(pairs) <= set(got) and all(got[d].n_repeated_words >= 120 for d in twice)
+
+
 def test_repeated_passages_edges(spark, edge, nothing):
     got = chaining.repeated_passages(edge).collect()
     assert sorted(r.doc_id for r in got) == [5, 5, 6] and {r.n_repeated_words for r in got} == {80}
