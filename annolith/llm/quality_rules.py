@@ -3,8 +3,8 @@
 The model is over byte n-grams of whole texts, one distribution a language.
 Spark counts the longest n-grams of the whole corpus and derives from them, in
 joins, the continuation counts, the discounts by count class and the
-probabilities of every order.  Scoring reads them from sorted hash arrays, one
-probability and one back-off array an order, of at most 2**SLOT_BITS entries.
+probabilities of every order.  Scoring reads them from sorted arrays, one of
+probabilities and one of back-off weights an order, with every n-gram counted.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from .cluster import mapped, slices, stage
 from .textkit import Hasher, Words, byte_table, mix, runs, shingles, utf8, within
 
 ORDER = 5
-SLOT_BITS = 22
 #: Languages with a model and bands of their own, the most frequent; further ones are taken as one, named "". What is broadcast has at most a row for each.
 MOST_LANGS = 1_000
 #: The characters that n_symbols counts.
@@ -41,9 +40,9 @@ def grams(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def slots(gram: np.ndarray, lang: np.ndarray | int, k: int) -> np.ndarray:
-    """A 32-bit hash of each n-gram of order k in its language's key (one for all, or one each)."""
-    return (mix(gram ^ (np.uint64(lang) << np.uint64(40) | np.uint64(k << 61))) >> np.uint64(32)).astype(np.uint32)
+def keys_of(gram: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
+    """Each n-gram with its language's key (one for all, or one each) above it: nothing is hashed, so none collide."""
+    return gram | np.asarray(lang, np.uint64) << np.uint64(8 * ORDER)
 
 
 def lang_key(lang: str | None) -> int:
@@ -141,31 +140,26 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
-def hash_array(df: DataFrame, key: str, value: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, logs) sorted by hash. One entry a slot, the most frequent: at most 2**SLOT_BITS entries reach the driver, whatever the size of df."""
+def sorted_array(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, logs) of every n-gram, sorted by key: 12 bytes of driver and worker memory each."""
 
     def make():
         def run(batch):
             langs = batch.column(0).to_pylist()
             names = {x: lang_key(x) for x in set(langs)}
-            g = batch.column(1).to_numpy().view(np.uint64)
-            h = np.zeros(len(g), np.uint32)
-            for lang, n in names.items():
-                mine = np.array([x == lang for x in langs])
-                h[mine] = slots(g[mine], n, k)
-            return pa.RecordBatch.from_arrays([pa.array((h >> np.uint32(32 - SLOT_BITS)).astype(np.int32)), pa.array(h.astype(np.int64)), batch.column(2), pa.array(np.log(batch.column(3).to_numpy()).astype(np.float32))], ["slot", "h", "c", "v"])
+            keys = keys_of(batch.column(1).to_numpy().view(np.uint64), np.array([names[x] for x in langs], np.uint64))
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.log(batch.column(2).to_numpy()).astype(np.float32))], ["h", "v"])
 
         return run
 
-    rows = mapped(df.select("lang", key, F.col("c").cast("double"), value), make, "slot int, h long, c double, v float")
-    best = rows.groupBy("slot").agg(F.max(F.struct("c", "h", "v")).alias("x")).select("x.h", "x.v").toArrow()
-    h, v = best.column(0).to_numpy().astype(np.uint32), best.column(1).to_numpy().astype(np.float32)
+    rows = mapped(df.select("lang", key, value), make, "h long, v float").toArrow()
+    h, v = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(h)
     return h[order], v[order]
 
 
 class HashModel:
-    """Log probabilities and back-off weights in sorted hash arrays."""
+    """Log probabilities and back-off weights in sorted arrays."""
 
     def __init__(self, p: list, gamma: list, langs: list[str]):
         self.p, self.gamma, self.langs = p, gamma, langs
@@ -190,12 +184,12 @@ class HashModel:
         left = np.arange(len(g))
         for k in range(ORDER, 0, -1):
             of, sub = lang[left], g[left] & np.uint64((1 << 8 * k) - 1)
-            hit, v = self.find(self.p[k - 1], slots(sub, of, k))
+            hit, v = self.find(self.p[k - 1], keys_of(sub, of))
             out[left[hit]] += v[hit]
             left, sub, of = left[~hit], sub[~hit], of[~hit]
             if not len(left):
                 break
-            hit, v = self.find(self.gamma[k - 1], slots(sub >> np.uint64(8), of, k))
+            hit, v = self.find(self.gamma[k - 1], keys_of(sub >> np.uint64(8), of))
             out[left[hit]] += v[hit]
         else:
             out[left] += np.float32(np.log(1 / 256))
@@ -222,7 +216,7 @@ SLICE = 1 << 19
 def fit_kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> HashModel:
     langs = frequent_languages(docs, lang_col)
     tables = kneser_ney(gram_counts(docs.select(text_col, language(lang_col, langs).alias("_lang")), text_col, "_lang"))
-    return HashModel([hash_array(p, "g", "p", k) for k, (p, _) in enumerate(tables, 1)], [hash_array(c, "ctx", "gamma", k) for k, (_, c) in enumerate(tables, 1)], langs)
+    return HashModel([sorted_array(p, "g", "p") for p, _ in tables], [sorted_array(c, "ctx", "gamma") for _, c in tables], langs)
 
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"

@@ -195,6 +195,16 @@ def test_kneser_ney_brute_force(spark):
     assert abs(sum(p(b"the " + bytes([x])) for x in range(256)) - 1) < 1e-9
 
 
+def test_kneser_ney_keeps_every_gram(spark):
+    r = random.Random(8)
+    chars = [chr(c) for c in range(33, 127)]
+    texts = ["".join(r.choice(chars) for _ in range(6000)) for _ in range(6)]
+    model = quality_rules.fit_kneser_ney(documents(spark, list(enumerate(texts))))
+    for k in range(1, quality_rules.ORDER + 1):
+        seen = {t[i : i + quality_rules.ORDER][-k:] for t in texts for i in range(len(t) - quality_rules.ORDER + 1)}
+        assert len(model.p[k - 1][0]) >= len(seen)
+
+
 def test_quality_rules_keep_clean_and_reject_junk(spark):
     rows = [(i, prose(i, 150)) for i in range(150)] + [(1000, " ".join(w + "%%%" for w in prose(5, 150).split())), (1001, prose(3, 40).upper() + " !! " * 30), (1002, None), (1003, "x")]
     by = {r.doc_id: r for r in quality_rules.quality_rules(documents(spark, rows)).collect()}
