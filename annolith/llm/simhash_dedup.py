@@ -96,6 +96,15 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs with one document, the one of smallest id, of each group of near copies. Rows that share an id are one document: they stay or go together, and rows without an id go."""
-    keep = simhash_groups(docs, id_col, text_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """docs with one document, the one of smallest id, of each group of near copies. Rows that share an id are one document: they stay or go together. A row without an id is a document of its own: it goes if it is a copy of one with an id; of copies without ids one row stays, that of the smallest hash."""
+    groups = stage(simhash_groups(docs, id_col, text_col, **how))
+    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    same = {k: v for k, v in how.items() if k in ("k", "seed")}
+    nameless = docs.filter(F.col(id_col).cast("long").isNull()).withColumn("_row", F.xxhash64(F.col(text_col).cast("string")))
+    prints = fingerprints(nameless, "_row", text_col, **same).distinct().select(F.col("doc_id").alias("_row"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"))
+    alone = groups.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
+    left = nameless.join(prints.join(alone, "fingerprint", "left_semi"), "_row", "left_semi")
+    stays = simhash_groups(left, "_row", text_col, **how).filter("doc_id = component_id").select(F.col("doc_id").alias("_row")).distinct()
+    row = F.struct(*docs.columns)
+    one = left.join(stays, "_row", "left_semi").groupBy("_row").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("row")).select("row.*")
+    return docs.join(keep, id_col, "left_semi").select(*docs.columns).unionByName(one)

@@ -440,6 +440,13 @@ def test_simhash_edges(spark, edge, nothing):
         simhash_dedup.fingerprint_links(edge.select(F.col("doc_id").alias("fp")), radius=3)
 
 
+def test_near_copies_without_ids(spark):
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (None, b.upper()), (None, c), (None, None), (None, None)]
+    got = simhash_dedup.drop_near_copies(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text.lower() if r.text else "") for r in got) == sorted([(1, a), (1, a), (0, b), (0, c), (0, "")])
+
+
 # 9
 
 
