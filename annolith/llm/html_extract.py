@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .cluster import mapped
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]{0,4096}+"|'[^']{0,4096}+')*+|[^>]*)(?:>|\Z)""", re.DOTALL)
+#: A quote opens a value after = alone, as in HTML, and the value is as long as it is; a stray one is a character.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?:>|\Z)""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 NAMES = re.compile(r"[a-z]+|[0-9]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -56,7 +57,7 @@ def names_of(attributes: str) -> tuple[str, ...]:
     found = []
     for _, value in ATTRIBUTE.findall(attributes):
         found += NAMES.findall(CAMEL.sub(" ", value).lower())
-    return tuple(found[:12])
+    return tuple(found)
 
 
 def read_blocks(page: str) -> list[Block]:
@@ -178,12 +179,12 @@ class Vectors:
         for i, (b, t) in enumerate(blocks):
             out[i, :PATH_DIM] = self.path(b.path)
             words = t.split(" ")
-            h = np.array([self.word(w) for w in words[:200]])
+            h = np.array([self.word(w) for w in words])
             out[i, PATH_DIM : PATH_DIM + WORD_DIM] = np.bincount(h % WORD_DIM, weights=np.where(h >= WORD_DIM, 1.0, -1.0), minlength=WORD_DIM) / math.sqrt(len(h))
             tags = {x for x, _ in b.path}
             out[i, PATH_DIM + WORD_DIM :] = (
                 math.log1p(len(t)) / 5, math.log1p(len(words)) / 4, min(1.0, b.linked / len(t)), len(t) / max(1, total), seen / max(1, total), i / len(blocks),
-                min(len(b.path), 20) / 10, t[-1] in ".!?", any(f"h{k}" in tags for k in range(1, 7)), "li" in tags, "p" in tags, sum(c.isdigit() for c in t[:400]) / min(len(t), 400), "a" in tags, math.log1p(len(blocks)) / 5,
+                min(len(b.path), 20) / 10, t[-1] in ".!?", any(f"h{k}" in tags for k in range(1, 7)), "li" in tags, "p" in tags, sum(c.isdigit() for c in t) / len(t), "a" in tags, math.log1p(len(blocks)) / 5,
             )
             seen += len(t)
         return out

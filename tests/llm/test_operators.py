@@ -493,6 +493,18 @@ def test_block_reader():
     assert html_extract.pages_blocks("") == [] and html_extract.pages_blocks("<p><b></p>  ") == []
 
 
+def test_block_reader_long_values_and_whole_blocks():
+    for n in (10, 5000, 100_000):
+        value = "<p>a</p> > " * (n // 10)
+        page = f"""<div data-x="{value}" class='c'>One</div><p title="5" tall">two</p><p id="open>three</p>"""
+        assert [t for _, t in html_extract.pages_blocks(page)] == ["One", "two", "three"]
+    names = " ".join(f"n{chr(97 + i)}" for i in range(20))
+    assert len(html_extract.names_of(f' class="{names}"')) == 20
+    words = "word " * 300
+    one, other = (html_extract.Vectors().page([(html_extract.Block(()), words + tail)])[0] for tail in ("tail 2024.", "else words."))
+    assert (one != other).any()
+
+
 def test_extraction_edges(spark):
     model = html_extract.fit_labeller(60)
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<html>"), (3, "u", "<html>"), (4, "u", "<p>" + "word " * 200_000), (5, "u", "<" * 5000), (None, "u", "<p x=\"unclosed>text")]
