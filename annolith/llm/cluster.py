@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and return what was written: the lineage is cut, and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/annolith-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _LEFT[path] = spark
     out = spark.read.schema(df.schema).parquet(path)
     out._annolith_path = path
@@ -44,6 +45,12 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark deletes the shuffle files of jobs that are over. It does so by itself only when the driver's memory runs short, long after the disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -82,23 +89,24 @@ def mapped(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator
     return df.mapInArrow(run, schema)
 
 
-#: Bits of a key bitmap: 4 MiB, whatever the number of keys.
-BITMAP_BITS = 1 << 25
+#: Bits of a key bitmap: about eight a key, at least 128 KiB and at most 32 MiB, beyond which it lets more pass.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
 
 def key_bitmap(df: DataFrame, column: str) -> bytes:
-    """A Bloom filter with one hash, the low bits of a long column: BITMAP_BITS bits at any size of df. At most 1,024 pieces of 4 kB reach the driver."""
-    at = F.col(column).bitwiseAND(F.lit(BITMAP_BITS - 1)) + 1
+    """A Bloom filter with one hash, the low bits of a long column. It has more bits for more keys, up to MOST_BITS; pieces of 4 kB of it reach the driver. df is counted first: a staged table."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * df.count()).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(size - 1)) + 1
     pieces = df.select(at.alias("at")).groupBy(F.expr("bitmap_bucket_number(at)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(at))").alias("m"))
-    out = bytearray(BITMAP_BITS // 8)
-    for b, m in pieces.collect():
+    out = bytearray(size // 8)
+    for b, m in pieces.toLocalIterator():
         out[(b - 1) * 4096 : b * 4096] = m
     return bytes(out)
 
 
 def in_bitmap(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in the table that the bitmap was made of; none that is in it is missed."""
-    at = keys.astype(np.uint64) & np.uint64(BITMAP_BITS - 1)
+    at = keys.astype(np.uint64) & np.uint64(8 * len(bitmap) - 1)
     return (np.frombuffer(bitmap, np.uint8)[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -172,3 +180,26 @@ def sorted_runs(batches, keys: list[str]):
             held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches, keys: list[str]):
+    """Batches sorted by keys as tables that don't cut a run of equal keys: many short runs come together, a long one alone."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        other = np.zeros(n, bool)
+        for k in keys:
+            c = batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False)
+            other |= c != c[-1]
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        ends = cut or (held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys))
+        if ends:
+            if cut:
+                held.append(batch.slice(0, cut))
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
