@@ -9,7 +9,7 @@ import corpus_pipeline
 from annolith.llm import langid, mixing, queries
 
 from .helpers import EDGE, documents
-from .test_operators import brute_contamination, brute_groups, brute_lines
+from .test_operators import brute_contamination, brute_lines, brute_near_copies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -42,8 +42,8 @@ def test_pipeline_brute_force(spark, small):
             del docs[d]
         else:
             docs[d] = r | {"text": keep, "n_chars": len(keep)}
-    groups = brute_groups([(d, r["text"]) for d, r in docs.items()])
-    docs = {d: r for d, r in docs.items() if groups[d][1] == d}
+    groups, _ = brute_near_copies([(d, r["text"]) for d, r in docs.items()])
+    docs = {d: r for d, r in docs.items() if groups[d] == d}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     held = {d for d, _ in brute_contamination([(d, r["text"]) for d, r in docs.items()], items)}
     docs = {d: r for d, r in docs.items() if d not in held}
