@@ -1,21 +1,20 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 Texts are normalised to lower-case words; a feature is a shingle of K words.
-For every benchmark item that shares a shingle with a document, the windows of
-the item's length that put the shared shingle where the item has it are
-fingerprinted.  Multi-index Hamming blocks find every item whose fingerprint is
-within the radius: a distance of at most RADIUS over BLOCKS blocks leaves some
-block within RADIUS // BLOCKS bits, and a table holds each item under all such
-values.  Candidates are verified by the exact similarity of weighted shingles.
-
-Windows without any shared shingle have similarity 0 to every item, so leaving
-them out loses nothing that the verification would keep.
+Windows of every item length are fingerprinted over their features.  Multi-index
+Hamming blocks find every item of that length whose fingerprint is within the
+radius: a distance of at most RADIUS over BLOCKS blocks leaves some block within
+RADIUS // BLOCKS bits, and all such values of a block are looked up.  Candidates
+are verified by the exact similarity of weighted shingles.
+
+A window of which too few shingles stand in any item can't reach the similarity
+with one of them, so it isn't fingerprinted: that loses nothing.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import mapped, slices
+from .cluster import in_bitmap, key_bitmap, mapped, slices, stage
 from .textkit import Hasher, Words, byte_table, majority, mix, runs, shingles, utf8, within
 
-K, BLOCKS, RADIUS = 5, 8, 23
+K, BLOCKS, RADIUS = 5, 4, 15
+#: The masks of at most RADIUS // BLOCKS bits of a block.
+MASKS = np.array([sum(1 << b for b in at) for n in range(RADIUS // BLOCKS + 1) for at in combinations(range(64 // BLOCKS), n)], np.uint16)
 
 
 def word_hashes(column: pa.Array, hasher: Hasher, table: np.ndarray) -> Iterator[tuple[int, Words, np.ndarray]]:
@@ -67,20 +68,22 @@ class Benchmark:
         flat = np.concatenate(self.features) if n else np.zeros(0, np.uint64)
         self.prints = majority(mix(flat), first)
         item = np.repeat(np.arange(n), np.diff(first))
-        order = np.argsort(flat, kind="stable")
-        self.keys, self.item, self.at = flat[order], item[order], (np.arange(len(flat)) - first[item])[order]
+        self.keys = np.unique(flat)
+        #: Length and shingle size of the windows, and the sizes in features of an item of that length.
+        self.kinds = sorted({(size, min(size, K)) for size in self.length})
+        self.sizes = np.array(self.length, np.int64)
         self.short = sorted({x for x in self.length if x < K})
         self.bitmap = np.zeros(1 << 17, np.uint8)
         np.bitwise_or.at(self.bitmap, ((flat >> np.uint64(3)) & np.uint64((1 << 17) - 1)).astype(np.int64), np.uint8(1) << (flat & np.uint64(7)).astype(np.uint8))
-        near = [x for x in range(256) if bin(x).count("1") <= RADIUS // BLOCKS]
-        self.tables: list[dict[int, list[int]]] = []
+        #: Of each block: items in order of its value, and where those of a value begin.
+        self.tables = []
         for b in range(BLOCKS):
-            of = defaultdict(list)
-            for i, p in enumerate(self.prints):
-                value = int(p) >> (8 * b) & 255
-                for x in near:
-                    of[value ^ x].append(i)
-            self.tables.append(dict(of))
+            value = self.block(self.prints, b)
+            self.tables.append((np.argsort(value, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << 64 // BLOCKS))])))
+
+    @staticmethod
+    def block(prints: np.ndarray, b: int) -> np.ndarray:
+        return (prints >> np.uint64(b * (64 // BLOCKS)) & np.uint64((1 << 64 // BLOCKS) - 1)).astype(np.uint16)
 
     def hits(self, f: np.ndarray) -> np.ndarray:
         """Positions of features that some item has."""
@@ -99,50 +102,89 @@ class Benchmark:
             some.update(words.row[at[ok[at]]].tolist())
         return sorted(some)
 
-    def within_radius(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """For each fingerprint, its index and the items within the radius, by the block tables."""
-        for w, p in enumerate(prints):
-            found = set()
-            for b, of in enumerate(self.tables):
-                found.update(of.get(int(p) >> (8 * b) & 255, ()))
-            items = np.fromiter(found, np.int64, len(found))
-            near = items[np.bitwise_count(self.prints[items] ^ p) <= RADIUS] if len(items) else items
-            if len(near):
-                yield w, np.sort(near)
-
-    def windows(self, f: np.ndarray, n_words: int) -> np.ndarray:
-        """(start, words) of the windows of a document to fingerprint: those that align a shared shingle with an item's."""
-        found = set()
-        for p in self.hits(f):
-            a, b = np.searchsorted(self.keys, f[p], "left"), np.searchsorted(self.keys, f[p], "right")
-            for x in range(a, b):
-                size = self.length[self.item[x]]
-                start = min(max(0, int(p) - int(self.at[x])), max(0, n_words - size))
-                found.add((start, min(size, n_words)))
-        return np.array(sorted(found), np.int64).reshape(-1, 2)
+    def within_radius(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, item) of every pair within the radius, in order, by the block tables."""
+        found = [np.zeros(0, np.int64)]
+        for lo in range(0, len(prints), 256):
+            for b, (items, first) in enumerate(self.tables):
+                values = (self.block(prints[lo : lo + 256], b)[:, None] ^ MASKS).astype(np.int64)
+                n = first[values + 1] - first[values]
+                w, m = np.nonzero(n)
+                n, begin = n[w, m], first[values[w, m]]
+                w = np.repeat(w + lo, n)
+                i = items[np.arange(len(w)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)]
+                near = np.bitwise_count(prints[w] ^ self.prints[i]) <= RADIUS
+                found.append(w[near] * len(self.ids) + i[near])
+        pairs = np.unique(np.concatenate(found))
+        return pairs // max(1, len(self.ids)), pairs % max(1, len(self.ids))
 
     def matches(self, h: np.ndarray, least: float) -> list[tuple[int, float, int, int, int]]:
-        """(item id, similarity, start word, words, Hamming distance) of each item that a document holds, its best window."""
+        """(item id, similarity, start word, words, Hamming distance) of each item that a document holds, its best window, of equal ones the first."""
         best: dict[int, tuple] = {}
-        for k in [K, *self.short]:
-            f = shingles(h, k)
-            if not len(f):
-                continue
-            spans = self.windows(f, len(h))
-            if not len(spans):
+        of_k: dict[int, tuple] = {}
+        for size, k in self.kinds:
+            if k not in of_k:
+                f = shingles(h, k)
+                held = np.zeros(len(f) + 1, np.int64)
+                held[self.hits(f) + 1] = 1
+                of_k[k] = f, np.cumsum(held)
+            f, held = of_k[k]
+            if not len(f) or not held[-1]:
                 continue
-            parts = [f[s : s + max(1, n - k + 1)] for s, n in spans]
-            prints = majority(mix(np.concatenate(parts)), np.concatenate([[0], np.cumsum([len(x) for x in parts])]))
-            for w, items in self.within_radius(prints):
-                for i in items:
-                    if min(K, self.length[i]) != k:
-                        continue
-                    sim = weighted_similarity(parts[w], self.features[i])
-                    if sim >= least and sim > best.get(i, (0,))[0]:
-                        best[i] = (sim, int(spans[w][0]), int(spans[w][1]), int(np.bitwise_count(prints[w] ^ self.prints[i])))
+            n = min(size, len(h)) - k + 1
+            begin = np.arange(len(f) - n + 1)
+            # the smaller counts sum up to s: s / (n + item - s) is `least` or more
+            begin = begin[held[begin + n] - held[begin] >= least * (n + size - k + 1) / (1 + least) - 1e-9]
+            for lo in range(0, len(begin), step := max(1, (1 << 15) // n)):
+                at = begin[lo : lo + step]
+                prints = majority(mix(f[at[:, None] + np.arange(n)].ravel()), np.arange(len(at) + 1) * n)
+                for w, i in zip(*(x.tolist() for x in self.within_radius(prints)), strict=True):
+                    if self.sizes[i] == size:
+                        sim = weighted_similarity(f[at[w] : at[w] + n], self.features[i])
+                        if sim >= least and sim > best.get(i, (0,))[0]:
+                            best[i] = (sim, int(at[w]), min(size, len(h)), int(np.bitwise_count(prints[w] ^ self.prints[i])))
         return [(self.ids[i], *found) for i, found in sorted(best.items())]
 
 
+def shared_shingles(benchmark: DataFrame, text_col: str) -> bytes:
+    """A bitmap of the features of all items."""
+
+    def make():
+        hasher, table = Hasher(), byte_table(True)
+
+        def run(batch):
+            found = [np.zeros(0, np.uint64)]
+            for _, words, h in word_hashes(batch.column(0), hasher, table):
+                found += [features(h[a:b]) for a, b in zip(words.first, words.first[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64))], ["f"])
+
+        return run
+
+    return key_bitmap(stage(mapped(benchmark.select(F.col(text_col).cast("string").alias("text")), make, "f long")), "f")
+
+
+def parted(docs: DataFrame, text_col: str, bitmap: bytes, sharing: bool) -> DataFrame:
+    """The rows of docs that may share a feature with an item, or those that don't."""
+    at, schema = docs.columns.index(text_col), docs.schema
+
+    def run(batches):
+        hasher, table = Hasher(), byte_table(True)
+        for batch in slices(batches):
+            held = np.zeros(batch.num_rows, bool)
+            for lo, words, h in word_hashes(batch.column(at).cast(pa.string()), hasher, table):
+                for k in range(1, K + 1):  # of fewer words than K, an item is a feature of its own size
+                    f = shingles(h, k)
+                    held[lo + words.row[np.flatnonzero(in_bitmap(bitmap, f) & within(words.row, k))]] = True
+            yield batch.filter(pa.array(held == sharing))
+
+    return docs.mapInArrow(run, schema)
+
+
+def oversized(benchmark: DataFrame, text_col: str, block_bytes: int) -> bool:
+    """Whether the benchmark takes more than one block."""
+    return (benchmark.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0) > block_bytes
+
+
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Benchmark]:
     """The items in blocks of at most block_bytes of text (or one longer item), read one after the other: what is held and sent at a time is bounded."""
     ids, texts, size = [], [], 0
@@ -162,11 +204,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, least: float = 0.8
 
     similarity: weighted Jaccard of 5-word shingles, at least `least`; items of fewer words are one shingle and must
     be found whole. Null or wordless texts and items match nothing. Rows that repeat an id give their matches each;
-    empty tables give an empty result; other columns are ignored. A benchmark over block_bytes is worked through in
-    blocks, with a pass over the documents for each."""
+    of equally good windows the first is given; texts of any length are read whole; empty tables give an empty result;
+    other columns are ignored. A benchmark over block_bytes is worked through in blocks, each against the documents
+    that share a shingle with any item."""
     schema = "doc_id long, item_id long, similarity double, start_word long, n_words long, hamming int"
     out = docs.sparkSession.createDataFrame([], schema)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if oversized(benchmark, item_text_col, block_bytes):
+        source = stage(parted(source, "text", shared_shingles(benchmark, item_text_col), True))
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
         out = out.unionByName(mapped(source, matcher(block, least), schema))
     return out
@@ -192,11 +237,17 @@ def matcher(block: Benchmark, least: float):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = 8_000_000) -> DataFrame:
-    """docs without the documents that hold a benchmark item. A filter for each block of the benchmark, without a shuffle."""
-    at, schema = docs.columns.index(text_col), docs.schema
+    """docs without the documents that hold a benchmark item: a filter, without a shuffle.
+
+    Nulls in any column, empty texts and repeated rows stay as they are, if they hold no item. A benchmark over
+    block_bytes is worked through in blocks, each a filter of the documents that share a shingle with any item."""
+    at, schema, rest = docs.columns.index(text_col), docs.schema, None
+    if oversized(benchmark, item_text_col, block_bytes):
+        there = shared_shingles(benchmark, item_text_col)
+        rest, docs = parted(docs, text_col, there, False), stage(parted(docs, text_col, there, True))
     for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
         docs = docs.mapInArrow(clean_filter(block, least, at), schema)
-    return docs
+    return docs if rest is None else rest.unionByName(docs)
 
 
 def clean_filter(block: Benchmark, least: float, column: int):
