@@ -22,14 +22,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
 
 
-def bounded(df: DataFrame, rows: int, key: str) -> DataFrame:
-    """About `rows` rows of df, or all if it has fewer, by a hash of `key`: the same in every run."""
+def bounded(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """About `rows` rows of df, or all if it has fewer, by a hash of `keys`: the same in every run. Rows of equal keys are drawn together, and once."""
     n = df.count()
-    return df if n <= rows else df.filter(F.pmod(F.xxhash64(F.lit(1), key), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return df if n <= rows else df.filter(F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(1_000_000)) < int(1_000_000 * rows / n)).dropDuplicates(list(keys))
 
 
 class LanguageModel:
-    """Log frequencies by word and by character n-gram, one column a language. Bounded by the words it is given."""
+    """Log frequencies by word and by character n-gram, one column a language."""
 
     def __init__(self, counts: dict[str, dict[str, int]], smoothing: float = 0.5):
         """counts: of each language, the counts of its words."""
@@ -125,7 +125,7 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             found: dict[str, Counter] = defaultdict(Counter)
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found[lang].update(LETTERS.findall(text.lower()))
-            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items() if len(w) <= 64]
+            rows = [(lang, w, n) for lang, c in found.items() for w, n in c.items()]
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"]) if rows else None
 
         return run
@@ -133,21 +133,13 @@ def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return mapped(docs.select(text_col, lang_col), make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 20_000, most_words: int = 60_000, most_langs: int = 250) -> LanguageModel:
-    """Learn from about `sample_rows` labelled rows. The model has the `most_words` words of largest share in their language, in at most `most_langs` languages: both bound what reaches the driver and the executors."""
-    # the sample is drawn before texts are looked at, so that counting the rows reads no text
-    rows = bounded(labelled.select(id_col, text_col, lang_col).dropna(subset=[lang_col]), sample_rows, id_col).dropna(subset=[text_col])
-    counts = word_counts(rows, text_col, lang_col).cache()
-    try:
-        totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
-        if not totals:
-            return LanguageModel({})
-        share = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]), F.col("lang"))
-        top = counts.filter(F.col("lang").isin(*totals)).orderBy(share.desc(), "lang", "word").limit(most_words).collect()
-    finally:
-        counts.unpersist()
-    found: dict[str, dict[str, int]] = {lang: {} for lang in totals}
-    for lang, word, n in top:
+def fit_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = 4_000) -> LanguageModel:
+    """Learn from about `sample_rows` labelled rows: every word of their whole texts, in every language they have. The sample is what bounds the model, which goes to the driver and to the executors.
+
+    Rows without a text or a language aren't learned from; rows that repeat an id and a text count once in a sample; without any there is a model of no language."""
+    rows = bounded(labelled.select(id_col, text_col, lang_col).dropna(subset=[lang_col, text_col]), sample_rows, id_col, text_col, lang_col)
+    found: dict[str, dict[str, int]] = defaultdict(dict)
+    for lang, word, n in word_counts(rows, text_col, lang_col).orderBy("lang", "word").toLocalIterator():
         found[lang][word] = n
     return LanguageModel(found)
 

@@ -9,8 +9,6 @@ probabilities and one of back-off weights an order, with every n-gram counted.
 
 from __future__ import annotations
 
-from zlib import crc32
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -21,8 +19,8 @@ from .cluster import mapped, slices, stage
 from .textkit import Hasher, Words, byte_table, mix, runs, shingles, utf8, within
 
 ORDER = 5
-#: Languages with a model and bands of their own, the most frequent; further ones are taken as one, named "". What is broadcast has at most a row for each.
-MOST_LANGS = 1_000
+#: Languages with a model and bands of their own, the most frequent: what a key of an n-gram has room for. What is broadcast has at most a row for each.
+MOST_LANGS = 65_535
 #: The characters that n_symbols counts.
 SYMBOLS = b"#*$%&|<>"
 
@@ -45,8 +43,9 @@ def keys_of(gram: np.ndarray, lang: np.ndarray | int) -> np.ndarray:
     return gram | np.asarray(lang, np.uint64) << np.uint64(8 * ORDER)
 
 
-def lang_key(lang: str | None) -> int:
-    return crc32((lang or "").encode()) & 0xFFFFF
+def lang_keys(langs: list[str]) -> dict[str, int]:
+    """The key of each language, no two alike; 0 is for no language."""
+    return {"": 0} | {x: i for i, x in enumerate(sorted(set(langs) - {""}), 1)}
 
 
 def frequent_languages(docs: DataFrame, lang_col: str) -> list[str]:
@@ -56,7 +55,7 @@ def frequent_languages(docs: DataFrame, lang_col: str) -> list[str]:
 
 def language(lang_col: str, langs: list[str]):
     """A document's language if it is one of langs, else the empty string, as for null."""
-    return F.when(F.col(lang_col).cast("string").isin(*langs), F.col(lang_col).cast("string")).otherwise("") if langs else F.lit("")
+    return F.when(F.col(lang_col).cast("string").isin(langs), F.col(lang_col).cast("string")).otherwise("") if langs else F.lit("")
 
 
 def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -140,14 +139,13 @@ def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
     return out
 
 
-def sorted_array(df: DataFrame, key: str, value: str) -> tuple[np.ndarray, np.ndarray]:
+def sorted_array(df: DataFrame, key: str, value: str, names: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(keys, logs) of every n-gram, sorted by key: 12 bytes of driver and worker memory each."""
 
     def make():
         def run(batch):
-            langs = batch.column(0).to_pylist()
-            names = {x: lang_key(x) for x in set(langs)}
-            keys = keys_of(batch.column(1).to_numpy().view(np.uint64), np.array([names[x] for x in langs], np.uint64))
+            langs = np.array([names[x] for x in batch.column(0).to_pylist()], np.uint64)
+            keys = keys_of(batch.column(1).to_numpy().view(np.uint64), langs)
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.log(batch.column(2).to_numpy()).astype(np.float32))], ["h", "v"])
 
         return run
@@ -162,7 +160,7 @@ class HashModel:
     """Log probabilities and back-off weights in sorted arrays."""
 
     def __init__(self, p: list, gamma: list, langs: list[str]):
-        self.p, self.gamma, self.langs = p, gamma, langs
+        self.p, self.gamma, self.langs, self.keys = p, gamma, langs, lang_keys(langs)
 
     @staticmethod
     def find(arrays, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +214,8 @@ SLICE = 1 << 19
 def fit_kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> HashModel:
     langs = frequent_languages(docs, lang_col)
     tables = kneser_ney(gram_counts(docs.select(text_col, language(lang_col, langs).alias("_lang")), text_col, "_lang"))
-    return HashModel([sorted_array(p, "g", "p") for p, _ in tables], [sorted_array(c, "ctx", "gamma") for _, c in tables], langs)
+    names = lang_keys(langs)
+    return HashModel([sorted_array(p, "g", "p", names) for p, _ in tables], [sorted_array(c, "ctx", "gamma", names) for _, c in tables], langs)
 
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
@@ -275,7 +274,6 @@ def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", tex
         def run(batch):
             raw, off = utf8(batch.column(1))
             langs = batch.column(2).to_pylist()
-            keys = {x: lang_key(x) for x in set(langs)}
             out: list[list] = [[] for _ in range(7)]
             for lo, hi in runs(off):
                 data, o = raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
@@ -283,7 +281,7 @@ def score_quality(docs: DataFrame, model: HashModel, id_col: str = "doc_id", tex
                 h = hasher.spans(words.data, words.starts, words.ends)
                 for x, y in zip(out, base_statistics(data, o, words, h, hasher, symbol), strict=False):
                     x.append(y)
-                total, count = model.text_bits(data, o, np.array([keys[x] for x in langs[lo:hi]], np.uint64))
+                total, count = model.text_bits(data, o, np.array([model.keys[x] for x in langs[lo:hi]], np.uint64))
                 byte_bits = np.divide(total, count, out=np.full(hi - lo, np.nan), where=count > 0)
                 n_words = np.diff(words.first)
                 word_bits = np.divide(total, n_words, out=np.full(hi - lo, np.nan), where=(count > 0) & (n_words > 0))
