@@ -85,12 +85,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def binomial_two_sided(b: Column, c: Column) -> Column:
-    """Exact two-sided p of b against c discordant pairs at one half; 1 if there are none. In Columns: log factorials by running sums."""
-    n = (b + c).cast("int")
-    logs = F.transform(F.sequence(F.lit(0), n), lambda i: F.aggregate(F.sequence(F.lit(0), i), F.lit(0.0), lambda s, k: s + F.log(F.greatest(k, F.lit(1)).cast("double"))))
-    choose = lambda k: F.element_at(logs, n + 1) - F.element_at(logs, k + 1) - F.element_at(logs, n - k + 1)
-    tail = F.aggregate(F.sequence(F.lit(0), F.least(b, c).cast("int")), F.lit(0.0), lambda s, k: s + F.exp(choose(k) - n * math.log(2)))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Exact two-sided p of b against c discordant pairs at one half; 1 if there are none. In Columns: each term from the one before."""
+    n, none = (b + c).cast("double"), F.lit(0.0)
+    start = F.struct((-n * math.log(2)).alias("term"), F.exp(-n * math.log(2)).alias("sum"))
+
+    def step(s: Column, k: Column) -> Column:
+        term = s["term"] + F.log((n - k + 1) / k)
+        return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
+
+    steps = F.when(F.least(b, c) > 0, F.sequence(F.lit(1), F.least(b, c).cast("int"))).otherwise(F.array().cast("array<int>"))
+    tail = F.aggregate(steps, start, step, lambda s: s["sum"])
+    return F.when(n == none, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import staged
 
 
 def draw(seed: int, *keys: str) -> Column:
@@ -16,9 +17,10 @@ def draw(seed: int, *keys: str) -> Column:
 def ordinals(df: DataFrame, *order: Column) -> DataFrame:
     """df with `ordinal`, the place of each row in the order, from 0, without bringing all rows to one task.
 
-    Rows are sorted into range partitions; each partition's count gives the next one its start."""
+    Rows are sorted into range partitions and written with their places in them, so that both branches read the same
+    ones; each partition's count gives the next one its start."""
     ranged = df.sort(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    ranged = ranged.cache()
+    ranged = staged(ranged, "ordinals")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_row").alias("low"))
     starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ranged.join(F.broadcast(starts), "_part").withColumn("ordinal", F.col("start") + F.col("_row") - F.col("low")).drop("_part", "_row", "n", "low", "start")

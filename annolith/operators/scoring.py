@@ -148,3 +148,14 @@ def trimmed(rows: DataFrame, by: str, value: str) -> DataFrame:
     k = F.floor(F.col("n") / 10)
     inner = F.when((F.col("r") > k) & (F.col("r") <= F.col("n") - k), F.col("x"))
     return ranked.groupBy(by).agg(F.avg(inner).alias("trimmed_mean"), F.percentile("x", 0.5).alias("median"), F.avg((F.col("x") < 0).cast("double")).alias("frac_neg"))
+
+
+def unique_prefix(stems: DataFrame, texts: DataFrame, key: str, match: str, stem: str = "stem", full: str = "full") -> DataFrame:
+    """(key, match) of the stems that exactly one text starts with.
+
+    A text meets the stems by its prefixes of the lengths that stems have: an equi-join, in which lengths, no rows,
+    are what every text is combined with."""
+    sizes = F.broadcast(stems.agg(F.collect_set(F.length(stem)).alias("_sizes")))
+    cuts = texts.crossJoin(sizes).select(match, full, F.explode(F.filter("_sizes", lambda n: n <= F.length(full))).alias("_n"))
+    starts = cuts.select(match, F.col(full).substr(F.lit(1), F.col("_n")).alias(stem))
+    return stems.select(key, stem).join(starts, stem).groupBy(key).agg(F.count("*").alias("n"), F.max(match).alias(match)).filter("n = 1").drop("n")

@@ -154,14 +154,12 @@ def ca(spark, sf_dir):
     return A.annotate(*annotated(spark, sf_dir)).select("doc_id", F.explode("entities").alias("m")).select("doc_id", "m.char_start", "m.char_end", "m.text_mention", F.explode("m.candidates").alias("c")).select("doc_id", "char_start", "char_end", "text_mention", "c.qid", "c.name", "c.scores_by_source.*", "c.aggregated_score")
 
 
-POOLS = "SELECT DISTINCT chunk_id, qid FROM chunk_mentions WHERE qid IN (SELECT qid FROM (SELECT qid, count(*) AS n FROM chunk_mentions GROUP BY qid ORDER BY n DESC, qid LIMIT 20))"
+POOLS = "SELECT DISTINCT chunk_id, qid FROM chunk_mentions"
 OWNED = f"SELECT chunk_id, arg_min(qid, (pool_size, qid)) AS qid, min(pool_size) AS pool_size FROM (SELECT *, count(*) OVER (PARTITION BY qid) AS pool_size FROM ({POOLS})) GROUP BY chunk_id"
 
 
 def pools(spark, sf_dir):
-    m = Tables(spark, sf_dir).chunk_mentions
-    top = m.groupBy("qid").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "qid").limit(20).select("qid")
-    return m.join(top, "qid", "left_semi").select("chunk_id", "qid").distinct()
+    return Tables(spark, sf_dir).chunk_mentions.select("chunk_id", "qid").distinct()
 
 
 @query("w5_rarest_owner", sql(OWNED, "chunk_mentions"))

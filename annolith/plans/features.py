@@ -167,12 +167,12 @@ def m24(spark, sf_dir):
 
 
 @query("m25_row_edit", sql("""WITH l AS (SELECT token_id, feature, value AS w FROM coordinates WHERE feature < 4 AND code = 1), d AS (SELECT token_id AS feature, feature AS dim, value AS d FROM coordinates WHERE token_id < 4),
-s AS (SELECT token_id, dim, sum(w * d) AS shift FROM l JOIN d USING (feature) GROUP BY token_id, dim) SELECT c.token_id, c.feature AS dim, round(c.value - 0.5 * coalesce(shift, 0), 6) AS value FROM coordinates c LEFT JOIN s ON s.token_id = c.token_id AND s.dim = c.feature WHERE c.token_id < 50""", "coordinates"))
+s AS (SELECT token_id, dim, sum(w * d) AS shift FROM l JOIN d USING (feature) GROUP BY token_id, dim) SELECT c.token_id, c.feature AS dim, round(c.value - 0.5 * coalesce(shift, 0), 6) AS value FROM coordinates c LEFT JOIN s ON s.token_id = c.token_id AND s.dim = c.feature""", "coordinates"))
 def m25(spark, sf_dir):
     c = cells(spark, sf_dir)
     loadings = c.filter("feature < 4 and code = 1").select("token_id", "feature", F.col("value").alias("w"))
     directions = c.filter("token_id < 4").select(F.col("token_id").cast("int").alias("feature"), F.col("feature").alias("dim"), F.col("value").alias("d"))
-    rows = c.filter("token_id < 50").select("token_id", F.col("feature").alias("dim"), "value")
+    rows = c.select("token_id", F.col("feature").alias("dim"), "value")
     return A.row_edit(rows, loadings, directions, 0.5).withColumn("value", F.round("value", 6))
 
 

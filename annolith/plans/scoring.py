@@ -85,7 +85,7 @@ def totals(rows):
     return r.select(F.when(F.col("gl") == 1, "ALL").otherwise(F.col("l")).alias("lang"), F.when(F.col("gs") == 1, "ALL").otherwise(F.col("s")).alias("source"), "b", "c", "n")
 
 
-@query("m17_exact_paired_test", f"""WITH t AS (SELECT lang, {DISCORDANT} GROUP BY lang), k AS (SELECT lang, b, c, unnest(range(0, least(b, c, 400) + 1)) AS k FROM t)
+@query("m17_exact_paired_test", f"""WITH t AS (SELECT lang, {DISCORDANT} GROUP BY lang), k AS (SELECT lang, b, c, unnest(range(0, least(b, c) + 1)) AS k FROM t)
 SELECT lang, b, c, round(least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(k + 1) - lgamma(b + c - k + 1) - (b + c) * ln(2)))), 6) AS p FROM k GROUP BY lang, b, c""")
 def m17(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -339,13 +339,10 @@ def r13(spark, sf_dir):
     return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("o_orderkey")).filter("n = 1").drop("n")
 
 
-@query("r14_unique_prefix", "SELECT a.p_partkey, max(b.p_partkey) AS match FROM part a JOIN part b ON starts_with(b.p_name || ' ' || b.p_partkey, a.p_name || ' ' || a.p_partkey) WHERE a.p_partkey <= 60 GROUP BY a.p_partkey HAVING count(*) = 1")
+@query("r14_unique_prefix", "SELECT a.p_partkey, max(b.p_partkey) AS match FROM part a JOIN part b ON starts_with(b.p_name || ' ' || b.p_partkey, a.p_name || ' ' || a.p_partkey) GROUP BY a.p_partkey HAVING count(*) = 1")
 def r14(spark, sf_dir):
-    # prefixes are matched by the first 8 characters, an equi-join, before they are compared
     p = Tables(spark, sf_dir).part.select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("full"))
-    a = p.filter("p_partkey <= 60").select("p_partkey", F.col("full").alias("stem"), F.substring("full", 1, 8).alias("k"))
-    b = p.select(F.col("p_partkey").alias("match"), "full", F.substring("full", 1, 8).alias("k"))
-    return a.join(b, "k").filter(F.startswith("full", "stem")).groupBy("p_partkey").agg(F.count("*").alias("n"), F.max("match").alias("match")).filter("n = 1").drop("n")
+    return S.unique_prefix(p.select("p_partkey", F.col("full").alias("stem")), p.select(F.col("p_partkey").alias("match"), "full"), "p_partkey", "match")
 
 
 @query("r15_symmetric_difference", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'first' ELSE 'second' END AS only_in FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) a FULL JOIN (SELECT doc_id FROM labels) b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL")

@@ -34,10 +34,10 @@ def s3(spark, sf_dir):
     return spark.read.schema("id string, status string").json(at)
 
 
-@query("s8_entity_list", "SELECT 'Q' || p_partkey AS qid, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS comment, (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS pos FROM part WHERE p_partkey <= 30")
+@query("s8_entity_list", "SELECT 'Q' || p_partkey AS qid, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE '' END AS comment, (row_number() OVER (ORDER BY p_partkey) - 1)::INT AS pos FROM part")
 def s8(spark, sf_dir):
     item = F.when(F.col("p_partkey") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("Q"), "p_partkey").alias("qid"), F.col("p_brand").alias("comment")))).otherwise(F.concat(F.lit('"Q'), "p_partkey", F.lit('"')))
-    parts = Tables(spark, sf_dir).part.filter("p_partkey <= 30").agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))).alias("a"))
+    parts = Tables(spark, sf_dir).part.agg(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("x")))).alias("a"))
     return S.entity_list(parts.select(F.concat(F.lit('{"entities": ['), F.array_join("a.x", ", "), F.lit("]}")).alias("value")))
 
 
@@ -87,20 +87,20 @@ def s15(spark, sf_dir):
     return S.inventory(spark, at).groupBy("label", "method", "topic").agg(F.count("*").alias("n"))
 
 
-@query("s16_scored_positions", "WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings) SELECT (row // 4)::BIGINT AS id, (row % 4)::BIGINT AS pos, round(embedding[1]::DOUBLE, 6) AS first FROM e WHERE row < 40")
+@query("s16_scored_positions", "WITH e AS (SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings) SELECT (row // 4)::BIGINT AS id, (row % 4)::BIGINT AS pos, round(embedding[1]::DOUBLE, 6) AS first FROM e")
 def s16(spark, sf_dir):
-    e = Tables(spark, sf_dir).embeddings.orderBy("vec_id").limit(40)
+    e = Tables(spark, sf_dir).embeddings
     dist = e.select(F.col("vec_id").alias("row"), F.transform("embedding", lambda x: x.cast("double")).alias("logp"))
     low = e.agg(F.min("vec_id").alias("low")).first()["low"]
-    ids = spark.range(10).toDF("id")
+    ids = e.select(F.floor((F.col("vec_id") - low) / 4).alias("id")).distinct()
     index = ids.select("id", (F.col("id") * 4 + low).alias("first"), (F.col("id") * 4 + 4 + low).alias("last"))
     return S.scored_positions(ids, index, dist).select("id", "pos", F.round(F.col("logp")[0], 6).alias("first"))
 
 
-@query("s17_labelled_sentences", "SELECT label, count(*) AS n, count(DISTINCT sentence) AS n_distinct FROM (SELECT text AS sentence, 1 AS label FROM benchmark UNION ALL SELECT split_part(text, chr(10), 1), 0 FROM documents WHERE doc_id < 100) GROUP BY label")
+@query("s17_labelled_sentences", "SELECT label, count(*) AS n, count(DISTINCT sentence) AS n_distinct FROM (SELECT text AS sentence, 1 AS label FROM benchmark UNION ALL SELECT text, 0 FROM documents) GROUP BY label")
 def s17(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = S.labelled_sentences(t.benchmark.select(F.col("text").alias("sentence")), t.documents.filter("doc_id < 100").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("sentence")), seed=42)
+    rows = S.labelled_sentences(t.benchmark.select(F.col("text").alias("sentence")), t.documents.select(F.col("text").alias("sentence")), seed=42)
     return rows.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("sentence").alias("n_distinct"))
 
 

@@ -34,14 +34,14 @@ def t3(spark, sf_dir):
     return Tables(spark, sf_dir).customer.select("c_custkey", T.normalize_span(said).alias("norm"))
 
 
-LCS = """WITH p AS (SELECT a.p_partkey, lower(a.p_name) AS x, lower(b.p_name) AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_partkey <= 120),
+LCS = """WITH p AS (SELECT a.p_partkey, lower(a.p_name) AS x, lower(b.p_name) AS y FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
 s AS (SELECT p_partkey, x, y, unnest(range(1, len(x) + 1)) AS i FROM p), u AS (SELECT *, unnest(range(1, len(x) - i + 2)) AS n FROM s)
 SELECT p.p_partkey, coalesce(max(CASE WHEN contains(p.y, substr(p.x, u.i, u.n)) THEN u.n END), 0)::INT AS lcs, any_value(len(p.x)) AS nx, any_value(len(p.y)) AS ny FROM p LEFT JOIN u USING (p_partkey) GROUP BY p.p_partkey"""
 
 
 def neighbours(spark, sf_dir):
     part = Tables(spark, sf_dir).part.select("p_partkey", "p_name")
-    return part.filter("p_partkey <= 120").join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+    return part.join(part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
 
 
 @query("t4_longest_common_substring", f"SELECT p_partkey, lcs FROM ({LCS})")
@@ -92,9 +92,9 @@ def t11(spark, sf_dir):
     return heads(spark, sf_dir).select("doc_id", T.clean_token(F.concat(F.lit("Ġ"), "first", F.lit("▁"))).alias("token"))
 
 
-@query("t12_escape_breaks", "SELECT doc_id, replace(replace(substr(text, 1, 200), chr(10), '\\n'), chr(13), '\\r') AS escaped FROM documents")
+@query("t12_escape_breaks", "SELECT doc_id, replace(replace(text, chr(10), '\\n'), chr(13), '\\r') AS escaped FROM documents")
 def t12(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.select("doc_id", T.escape_breaks(F.substring("text", 1, 200)).alias("escaped"))
+    return Tables(spark, sf_dir).documents.select("doc_id", T.escape_breaks(F.col("text")).alias("escaped"))
 
 
 @query("t13_slug", "SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace('/' || p_name || ' & ' || p_type || '/', '[^0-9A-Za-z_-]', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part")
@@ -137,9 +137,9 @@ def t17(spark, sf_dir):
     return heads(spark, sf_dir).select("doc_id", *[F.array_contains(p, k).alias(k) for k in ("edge_space", "closing_mark", "prompt_words")])
 
 
-@query("t18_parse_letter", "SELECT doc_id, regexp_extract(substr(text, 1, 400), '(?:^|[^\\pL\\pN_])([A-D])(?:[^\\pL\\pN_]|$)', 1) AS letter FROM documents")
+@query("t18_parse_letter", "SELECT doc_id, regexp_extract(text, '(?:^|[^\\pL\\pN_])([A-D])(?:[^\\pL\\pN_]|$)', 1) AS letter FROM documents")
 def t18(spark, sf_dir):  # a letter stands alone between characters that aren't letters of any alphabet
-    return Tables(spark, sf_dir).documents.select("doc_id", T.parse_letter(F.substring("text", 1, 400)).alias("letter"))
+    return Tables(spark, sf_dir).documents.select("doc_id", T.parse_letter(F.col("text")).alias("letter"))
 
 
 @query("t18_mc_prompt", "SELECT p_partkey, 'Choose the single best answer.' || chr(10) || 'Question: ' || p_name || chr(10) || chr(10) || 'Choices:' || chr(10) || 'A. ' || p_name || chr(10) || 'B. ' || p_brand || chr(10) || 'C. ' || p_type || chr(10) || 'D. none' || chr(10) || chr(10) || 'Answer only with one letter (A, B, C, or D) and no formatting.' AS prompt FROM part")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.annotate import DOCUMENT
+from .scratch import scratch
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -228,19 +229,6 @@ def _table(df, most, line, rule) -> str:
     return "\n".join([line(df.columns), rule(len(df.columns)), *[line([cell(x) for x in r]) for r in rows]])
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; a local one only where none is set and the master is local."""
-    import tempfile
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="annolith-")
-    return f"{at.rstrip('/')}/annolith-{name}-{uuid.uuid4().hex}"
-
-
 def select_items(items: DataFrame, wanted: DataFrame, key: str = "idx", choices: str = "choices") -> DataFrame:
     """Items of the wanted indices that have exactly four choices."""
     return items.join(wanted.select(key).distinct(), key, "left_semi").filter(F.size(choices) == 4)

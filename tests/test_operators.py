@@ -408,3 +408,40 @@ def test_leaked_items_in_blocks(spark):
     items = spark.createDataFrame([(1, "two"), (2, "five"), (3, None), (4, "four")], "item_id long, text string")
     for size in (4_000_000, 3):
         assert sorted(r.item_id for r in V.leaked_items(docs, items, block_bytes=size).collect()) == [1, 4]
+
+
+def test_unique_prefix_with_short_stems(spark):
+    from annolith.operators import scoring
+
+    stems = spark.createDataFrame([(1, "ab 1"), (2, "ab 11"), (3, "zz"), (4, "none"), (5, None)], "k int, stem string")
+    texts = spark.createDataFrame([(1, "ab 1"), (2, "ab 11"), (3, "zz top of the hill"), (4, None)], "m int, full string")
+    got = scoring.unique_prefix(stems, texts, "k", "m").collect()
+    assert sorted((r.k, r.m) for r in got) == [(2, 2), (3, 3)]
+
+
+def test_exact_paired_test_of_many_pairs(spark):
+    from fractions import Fraction
+    from math import comb
+
+    from annolith.functions import stats
+
+    cases = [(0, 0), (0, 5), (3, 9), (40, 61), (900, 1010), (1500, 1500)]
+    got = spark.createDataFrame(cases, "b int, c int").select("b", "c", stats.binomial_two_sided(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in got:
+        n = r.b + r.c
+        want = min(Fraction(1), 2 * Fraction(sum(comb(n, k) for k in range(min(r.b, r.c) + 1)), 2**n)) if n else 1
+        assert r.p == pytest.approx(float(want), rel=1e-9)
+
+
+def test_best_ratio_bounds_the_overlap(spark):
+    from annolith.operators import annotate
+
+    words = ["The Alpha's", "alpha", "İstanbul", "", "an", "Alphabet Inc", "bet", None]
+    rows = spark.createDataFrame([(a, b) for a in words for b in words], "a string, b string")
+    got = rows.select(T.overlap_ratio(F.col("a"), F.col("b")).alias("r"), annotate.best_ratio(F.col("a"), F.col("b")).alias("most")).collect()
+    assert all(r.r is None or r.r <= r.most + 1e-12 for r in got)
+
+
+def test_sentence_rules():
+    for text, want in [("Dr. No came. (He left.) 3 stayed", ["Dr. No came.", "(He left.)", "3 stayed"]), ("a" * 60 + ".b. Yes", ["a" * 60 + ".b. Yes"]), ("Why?! Because.” So", ["Why?!", "Because.”", "So"]), (" x. Y ", ["x.", "Y"]), ("A. B", ["A. B"]), ("end... Next", ["end...", "Next"])]:
+        assert [s for _, _, s in T.sentences(text)] == want, text
