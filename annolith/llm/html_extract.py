@@ -79,6 +79,7 @@ def read_blocks(page: str) -> list[Block]:
         nonlocal now
         if unread or not piece:
             return
+        piece = entities.unescape(piece)  # a reference ends where markup begins
         if now is None:
             if piece.isspace():
                 return
@@ -133,7 +134,7 @@ def read_blocks(page: str) -> list[Block]:
 
 
 def block_text(block: Block) -> str:
-    return " ".join(entities.unescape("".join(block.parts)).split())
+    return " ".join("".join(block.parts).split())
 
 
 def pages_blocks(page: str) -> list[tuple[Block, str]]:

@@ -645,6 +645,11 @@ def test_block_reader():
     assert html_extract.pages_blocks("") == [] and html_extract.pages_blocks("<p><b></p>  ") == []
 
 
+def test_references_end_where_markup_begins():
+    page = "<p>a&am<b>p;</b> &lt<i>;x</i> &eacute;&#x41;&#66; R&D &amp;lt; &nbsp;</p><p>&nbsp; &#32;</p>"
+    assert [t for _, t in html_extract.pages_blocks(page)] == ["a&amp; <;x éAB R&D &lt;"]
+
+
 def test_block_reader_long_values_and_whole_blocks():
     for n in (10, 5000, 100_000):
         value = "<p>a</p> > " * (n // 10)
