@@ -84,7 +84,9 @@ def length_report(df: DataFrame, by: str, text: str) -> DataFrame:
     at = lambda i: F.greatest(F.lit(1.0), F.least(F.col("total") - 1.0, F.floor(i * (F.col("total") + 1) / 10).cast("double")))
     decile = lambda i: value(at(i)) + (value(at(i) + 1) - value(at(i))) * (i * (F.col("total") + 1) / 10 - at(i))
     deciles = array.select(by, F.when(F.col("total") >= 10, F.array(*[F.round(decile(i), 1) for i in range(1, 10)])).otherwise(F.array().cast("array<double>")).alias("deciles"))
-    return per.join(deciles, by)
+    names = [*per.columns, "deciles"]
+    deciles = deciles.withColumnRenamed(by, "_by")
+    return per.join(deciles, F.col(by).eqNullSafe(F.col("_by"))).select(names)
 
 
 def distribution_gate(report: DataFrame, target: int, median: tuple[float, float], least_stdev: float, least_distinct: int) -> DataFrame:

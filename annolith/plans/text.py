@@ -192,12 +192,13 @@ def p15(spark, sf_dir):
     return hashed_batches(Tables(spark, sf_dir).documents.filter(F.length("text").between(50, 2000)), "doc_id", 16, seed=5)
 
 
-@query("g16_length_report", """WITH w AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
-SELECT source, count(*) AS n, min(n)::INT AS min, max(n)::INT AS max, quantile_cont(n, 0.5)::DOUBLE AS median, round(stddev_pop(n), 6) AS stdev, count(DISTINCT n) AS distinct_lengths FROM w GROUP BY source""")
+@query("g16_length_report", """WITH w AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents),
+g AS (SELECT source, count(*) AS n, min(n)::INT AS min, max(n)::INT AS max, quantile_cont(n, 0.5)::DOUBLE AS median, round(stddev_pop(n), 6) AS stdev, count(DISTINCT n) AS distinct_lengths, list_sort(list(n)) AS x FROM w GROUP BY source)
+SELECT source, n, min, max, median, stdev, distinct_lengths, CASE WHEN n >= 10 THEN list_transform(range(1, 10), lambda i: round((x[i * (n + 1) // 10] * (10 - i * (n + 1) % 10) + x[i * (n + 1) // 10 + 1] * (i * (n + 1) % 10)) / 10, 1)) ELSE [] END AS deciles FROM g""")
 def g16(spark, sf_dir):
     from ..operators.sampling import length_report
 
-    return length_report(Tables(spark, sf_dir).documents, "source", "text").drop("deciles")
+    return length_report(Tables(spark, sf_dir).documents, "source", "text")
 
 
 @query("v8_distribution_gate", """WITH w AS (SELECT source, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n FROM documents)
