@@ -113,10 +113,11 @@ def dose_buckets(count: Column) -> Column:
     return F.when(count == 0, "0").when(count == 1, "1").when(count <= 3, "2-3").when(count <= 7, "4-7").otherwise("8+")
 
 
-def best_delta(grid: DataFrame) -> DataFrame:
-    """The row of largest objective, the smallest delta of equals; if no objective is over 0, the smallest delta, set to 0."""
+def best_delta(grid: DataFrame, place: str = "label") -> DataFrame:
+    """The row of largest objective, the smallest delta of equals, the least `place` of equals in both; if no objective is over 0, the smallest delta, set to 0."""
     g = grid.withColumn("delta", F.col("delta").cast("double")).filter("delta is not null").withColumn("objective", F.coalesce("objective", F.lit(0.0)))
-    top = g.agg(F.max_by(F.struct("label", "delta", "objective"), F.struct("objective", -F.col("delta"))).alias("best"), F.min_by(F.struct("label", "delta", "objective"), "delta").alias("least"), F.max(F.abs("objective")).alias("any"))
+    row, order = F.struct("label", "delta", "objective"), lambda *first: F.struct(*first, "delta", F.col(place).alias("place"))
+    top = g.agg(F.min_by(row, order((-F.col("objective")).alias("objective"))).alias("best"), F.min_by(row, order()).alias("least"), F.max(F.abs("objective")).alias("any"))
     one = F.when(F.col("any") > 0, F.col("best")).otherwise(F.col("least").withField("delta", F.lit(0.0)))
     return top.select(one.alias("x")).select("x.*")
 

@@ -221,6 +221,15 @@ def test_best_delta(spark):
     assert tuple(SC.best_delta(spark.createDataFrame([("a", 0.5, 0.0), ("b", 0.2, None)], kind)).first()) == ("b", 0.0, 0.0)
 
 
+def test_best_delta_of_equals_is_the_first(spark):
+    rows = [("c13", 0.2, 0.9, 13), ("c9", 0.2, 0.9, 9), ("c21", 0.2, 0.9, 21), ("c1", 0.5, 0.9, 1)]
+    grid = lambda r: spark.createDataFrame(r, "label string, delta double, objective double, k long").repartition(3)
+    for r in (rows, rows[::-1]):
+        assert SC.best_delta(grid(r), "k").first().label == "c9"
+        assert SC.best_delta(grid(r)).first().label == "c13"
+        assert SC.best_delta(grid([(a, b, 0.0, k) for a, b, _, k in r]), "k").first().label == "c9"
+
+
 def test_parse_config(spark):
     get = lambda label: one(spark, SC.parse_config(F.col("x")), x=label)
     x = get("rmu_rome_L9mid_a250")
