@@ -13,10 +13,9 @@
 4. Of each connected group the occurrence first in order of document and line
    stays.
 
-The lines of a key that more than CHUNK of them share meet under TABLES further keys
-of their own, LEAST orders deeper: that costs TABLES rows a line, and finds the same
-share of the pairs again. Only what no order tells apart after DEPTH levels (lines of
-one set of features) is compared in pairs of chunks.
+All pairs of lines that share a key have their fingerprints compared, however many do:
+the lines of a key that more than CHUNK of them share are dealt to chunks, and each pair
+of chunks is a group of its own. Whether two lines are linked doesn't depend on the others.
 """
 
 from __future__ import annotations
@@ -31,13 +30,12 @@ from .chaining import Seen, row_hashes
 from .cluster import connected_components, drop, in_bitmap, key_bitmap, mapped, release, slices, stage, whole_runs
 from .textkit import Hasher, Words, byte_table, majority, mix, runs, utf8, within
 
-RADIUS, TABLES, LEAST, SHORT, CHUNK, DEPTH = 20, 8, 3, 6, 2048, 4
+RADIUS, TABLES, LEAST, SHORT, CHUNK = 20, 8, 3, 6, 8192
 
 
-def orders(level: int) -> np.ndarray:
-    """Odd factors, an order of hashes each, of the tables of a level."""
-    n = TABLES * LEAST
-    return mix(np.arange(1 + level * n, 1 + (level + 1) * n, dtype=np.uint64)).reshape(TABLES, LEAST) | np.uint64(1)
+def orders() -> np.ndarray:
+    """Odd factors, an order of hashes each, of the tables."""
+    return mix(np.arange(1, 1 + TABLES * LEAST, dtype=np.uint64)).reshape(TABLES, LEAST) | np.uint64(1)
 
 
 def spans_of(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -45,11 +43,11 @@ def spans_of(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
 
 
-def tokens_in_tables(h: np.ndarray, first: np.ndarray, level: int = 0) -> np.ndarray:
+def tokens_in_tables(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The key of each non-empty group of hashes in each table, 32 bits."""
     out = np.empty((len(first) - 1, TABLES), np.uint32)
     if len(out):
-        for t, factors in enumerate(orders(level)):
+        for t, factors in enumerate(orders()):
             key = np.zeros(len(out), np.uint64)
             for factor in factors:
                 key = mix(key + np.minimum.reduceat(h * factor, first[:-1]))
@@ -399,18 +397,34 @@ def within_edits(pairs: list[tuple[str, str, int]]) -> list[bool]:
     return found
 
 
-def near_pairs(groups: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows, sorted by group, of one group and within RADIUS."""
-    at, left, right = np.arange(len(prints)), [], []
+#: Bounds of the fingerprints' distance, the nearest pairs first; pairs that are held at once, and pairs between two looks at what is connected.
+STEPS, BLOCK, LOOK = (8, RADIUS), 1 << 20, 1 << 14
+
+
+def near_pairs(groups: np.ndarray, prints: np.ndarray, part: np.ndarray, low: int = -1, high: int = RADIUS):
+    """(left, right) blocks of the pairs of rows, sorted by group, of one group and over `low` and up to `high` bits apart. part: 0 or 1 where only rows of different parts meet, else -1."""
+    at, left, right, size = np.arange(len(prints)), [], [], 0
     for d in range(1, len(prints)):
         at = at[at + d < len(prints)]
         at = at[groups[at] == groups[at + d]]
         if not len(at):
             break
-        near = at[np.bitwise_count(prints[at] ^ prints[at + d]) <= RADIUS]
+        bits = np.bitwise_count(prints[at] ^ prints[at + d])
+        near = at[(bits <= high) & (bits.astype(np.int16) > low) & ((part[at] < 0) | (part[at] != part[at + d]))]
         left.append(near)
         right.append(near + d)
-    return (np.concatenate(left), np.concatenate(right)) if left else (at[:0], at[:0])
+        size += len(near)
+        if size > BLOCK:
+            yield np.concatenate(left), np.concatenate(right)
+            left, right, size = [], [], 0
+    if size:
+        yield np.concatenate(left), np.concatenate(right)
+
+
+def parts_of(rows: pa.Table) -> np.ndarray:
+    """Which of its slot's two chunks each row is in, -1 where the slot has but one."""
+    slot = rows.column("slot").to_numpy()
+    return np.where(slot // CHUNKS == slot % CHUNKS, -1, rows.column("part").to_numpy())
 
 
 def group_numbers(rows: pa.Table) -> np.ndarray:
@@ -420,11 +434,11 @@ def group_numbers(rows: pa.Table) -> np.ndarray:
 
 
 def partnered(batches):
-    """Sorted (bucket, slot, key, print) -> those of its rows that have a partner in their group within RADIUS."""
+    """Sorted (bucket, slot, key, print, part) -> those of its rows that have a partner in their group within RADIUS."""
     for rows in whole_runs(batches, ["bucket", "slot"]):
-        left, right = near_pairs(group_numbers(rows), rows.column("print").to_numpy().view(np.uint64))
         has = np.zeros(rows.num_rows, bool)
-        has[left] = has[right] = True
+        for left, right in near_pairs(group_numbers(rows), rows.column("print").to_numpy().view(np.uint64), parts_of(rows)):
+            has[left] = has[right] = True
         if has.any():
             yield from rows.filter(pa.array(has)).combine_chunks().to_batches()
 
@@ -476,27 +490,38 @@ class Links:
 
 
 def linked(batches, least: float):
-    """Sorted (bucket, slot, key, print, normal, marks) -> edges (u, v) that connect what pairs within RADIUS and of edit similarity `least` connect.
+    """Sorted (bucket, slot, key, print, part, normal, marks) -> edges (u, v) that connect what pairs within RADIUS and of edit similarity `least` connect.
 
     A pair is compared in its first common table alone, the nearest fingerprints first, and not if its lines are
     connected already: a group of near copies costs about a comparison a line."""
     links = Links()
     for rows in whole_runs(batches, ["bucket", "slot"]):
         prints, marks = rows.column("print").to_numpy().view(np.uint64), unpacked(rows.column("marks"))
-        left, right = near_pairs(group_numbers(rows), prints)
+        groups, part = group_numbers(rows), parts_of(rows)
         size = pc.utf8_length(rows.column("normal")).to_numpy()
-        fits = np.abs(size[left] - size[right]) <= (1 - least) * np.maximum(size[left], size[right]) + 1e-9
-        left, right = left[fits], right[fits]
-        table = (rows.column("bucket").to_numpy().view(np.uint64) >> np.uint64(60)).astype(np.int64)[left]  # of the first level
-        before = np.zeros(len(left), bool)
-        for t in range(TABLES):
-            before |= (marks[left, t] == marks[right, t]) & (t < table)
-        left, right = left[~before], right[~before]
-        order = np.argsort(np.bitwise_count(prints[left] ^ prints[right]), kind="stable")
+        table = (rows.column("bucket").to_numpy().view(np.uint64) >> np.uint64(60)).astype(np.int64)
         texts, keys = rows.column("normal"), rows.column("key").to_pylist()
-        for i, j in zip(left[order].tolist(), right[order].tolist(), strict=True):
-            if links.root(keys[i]) != links.root(keys[j]):
-                links.compare(keys[i], keys[j], texts[i].as_py(), texts[j].as_py(), least)
+        low = -1
+        for high in STEPS:
+            for left, right in near_pairs(groups, prints, part, low, high):
+                fits = np.abs(size[left] - size[right]) <= (1 - least) * np.maximum(size[left], size[right]) + 1e-9
+                left, right = left[fits], right[fits]
+                before = np.zeros(len(left), bool)
+                for t in range(TABLES):
+                    before |= (marks[left, t] == marks[right, t]) & (t < table[left])
+                left, right = left[~before], right[~before]
+                order = np.argsort(np.bitwise_count(prints[left] ^ prints[right]), kind="stable")
+                left, right = left[order], right[order]
+                for a in range(0, len(left), LOOK):
+                    some, other = left[a : a + LOOK], right[a : a + LOOK]
+                    if len(left) > LOOK:  # most pairs of a large group are connected by the nearest
+                        root = np.array([links.root(k) for k in keys])
+                        apart = root[some] != root[other]
+                        some, other = some[apart], other[apart]
+                    for i, j in zip(some.tolist(), other.tolist(), strict=True):
+                        if links.root(keys[i]) != links.root(keys[j]):
+                            links.compare(keys[i], keys[j], texts[i].as_py(), texts[j].as_py(), least)
+            low = high
         if links.edges:
             yield links.taken()
     links.settle()
@@ -523,70 +548,48 @@ def buckets_of(distinct: DataFrame, bitmap: bytes | None = None) -> DataFrame:
     return mapped(distinct.select("key", "print", "marks"), make, "bucket long, key long, print long")
 
 
-def deeper(rows: DataFrame, level: int) -> DataFrame:
-    """(bucket, key, print, normal) under the keys of every table of a level, within the bucket that the row is in; the table of the first level stays in the top four bits."""
-
-    def make():
-        hasher, table = Hasher(), normal_table()
-
-        def run(batch):
-            marks = np.concatenate([tokens_in_tables(*x.features(np.arange(len(x.key))), level) for _, x in line_runs(batch.column(3), hasher, table)]).astype(np.uint64)
-            b = batch.column(0).to_numpy().view(np.uint64)
-            top = b >> np.uint64(60) << np.uint64(60)
-            below = [mix(mix(b + np.uint64(t + 1)) + marks[:, t]) >> np.uint64(4) | top for t in range(TABLES)]
-            at = pa.array(np.tile(np.arange(len(b)), TABLES))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(below).view(np.int64)), *(batch.column(i).take(at) for i in (1, 2, 3))], ["bucket", "key", "print", "normal"])
-
-        return run
-
-    return mapped(rows.select("bucket", "key", "print", "normal"), make, "bucket long, key long, print long, normal string")
-
-
-def dealt(rows: DataFrame) -> DataFrame:
-    """Rows of over-full buckets, with their bucket's count n, under a slot for each pair of chunks that the row's chunk is in."""
-    k = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("key"), k).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.least(j, chunk).cast("long") * 100_000_000 + F.greatest(j, chunk))
-    return rows.withColumn("slot", F.explode(pairs))
+#: More than a bucket has chunks: a slot is the lesser of its two times this, and the greater.
+CHUNKS = 100_000_000
 
 
-def grouped(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(bucket, slot, key, print) of the lines that share a bucket, in groups of at most CHUNK, or two chunks where no order tells them apart. Staged."""
-    names = ["bucket", "slot", "key", "print"]
+def grouped(distinct: DataFrame) -> DataFrame:
+    """(bucket, slot, key, print, part) of the lines that share a bucket: one slot for up to CHUNK lines, else a slot for each pair of chunks that the row's chunk is in, part 1 being the greater of the two."""
     sizes = stage(buckets_of(distinct).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    rows = buckets_of(distinct, key_bitmap(sizes, "bucket")).join(sizes, "bucket").withColumn("slot", F.lit(0).cast("long"))
-    if not sizes.filter(F.col("n") > CHUNK).limit(1).count():
-        return rows.select(names)
-    rows = stage(rows)
+    rows = buckets_of(distinct, key_bitmap(sizes, "bucket"))
+    # at most TABLES buckets for every CHUNK lines
+    over = stage(sizes.filter(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("k")))
     drop(sizes)
-    done = rows.filter(F.col("n") <= CHUNK).select(names)
-    over = stage(rows.filter(F.col("n") > CHUNK).select("bucket", "key", "print", "n"))
-    texts = stage(texts_of(docs, key_bitmap(over, "key")).select("key", "normal"))
-    for level in range(1, DEPTH + 1):
-        below = stage(deeper(over.join(texts, "key"), level).drop("normal"))
-        sizes = stage(below.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-        below = stage(below.join(sizes, "bucket").withColumn("slot", F.lit(0).cast("long")))
-        done = done.unionByName(below.filter(F.col("n") <= CHUNK).select(names))
-        over = stage(below.filter(F.col("n") > CHUNK).select("bucket", "key", "print", "n"))
-        if not over.limit(1).count():
-            return done
-    return done.unionByName(dealt(over).select(names))
+    release(distinct.sparkSession)
+    chunk = F.pmod(F.xxhash64("key"), "k").cast("int")
+    slot = lambda j: F.struct((F.least(j, chunk).cast("long") * CHUNKS + F.greatest(j, chunk)).alias("slot"), (j < chunk).cast("byte").alias("part"))
+    one = F.array(F.struct(F.lit(0).cast("long").alias("slot"), F.lit(0).cast("byte").alias("part")))
+    slots = F.when(F.col("k").isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1), slot))
+    return rows.join(F.broadcast(over), "bucket", "left").select("bucket", "key", "print", F.explode(slots).alias("s")).select("bucket", "s.slot", "key", "print", "s.part")
 
 
 def similar_lines(docs: DataFrame, distinct: DataFrame, least: float) -> DataFrame:
-    """Edges (u, v) between keys of lines that meet in a table, are within RADIUS and of edit similarity `least`, as many as connect them. docs: (doc_id, text)."""
+    """Edges (u, v) between keys of lines that meet in a table, are within RADIUS and of edit similarity `least`, as many as connect them. docs: (doc_id, text). Staged."""
+    spark = docs.sparkSession
     together = lambda d: d.repartition("bucket", "slot").sortWithinPartitions("bucket", "slot", "key")
-    suspects = stage(together(grouped(docs, distinct)).mapInArrow(partnered, "bucket long, slot long, key long, print long"))
-    release(docs.sparkSession)
+    suspects = stage(together(grouped(distinct)).mapInArrow(partnered, "bucket long, slot long, key long, print long, part byte"))
+    release(spark)
     texts = stage(texts_of(docs, key_bitmap(suspects, "key")))
-    full = suspects.join(texts, "key").select("bucket", "slot", "key", "print", "normal", "marks")
-    return together(full).mapInArrow(lambda batches: linked(batches, least), "u long, v long")
+    release(spark)
+    full = suspects.join(texts, "key").select("bucket", "slot", "key", "print", "part", "normal", "marks")
+    edges = stage(together(full).mapInArrow(lambda batches: linked(batches, least), "u long, v long"))
+    drop(suspects)
+    drop(texts)
+    release(spark)
+    return edges
 
 
 def removed_lines(docs: DataFrame, least: float) -> DataFrame:
     """(doc_id, removed): the numbers of the lines that go, of documents that lose any. docs: (doc_id, text)."""
-    lines = stage(lines_of(docs))
-    distinct = stage(lines.groupBy("key").agg(F.min("print").alias("print"), F.first("marks", True).alias("marks"), F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
+    wide = stage(lines_of(docs))
+    distinct = stage(wide.groupBy("key").agg(F.min("print").alias("print"), F.first("marks", True).alias("marks"), F.min(F.struct("doc_id", "line")).alias("at"), F.count("*").alias("n")))
+    lines = stage(wide.select("doc_id", "line", "key"))  # without what only the tables need
+    drop(wide)
+    release(docs.sparkSession)
     roots = connected_components(similar_lines(docs, distinct, least))
     named = distinct.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").filter("n > 1 or root is not null").select("key", "at", F.coalesce("root", "key").alias("root"))
     # both sides are staged, so that a group with most of the lines is a join that can be split

@@ -173,6 +173,35 @@ def test_line_dedup_recall_without_the_fingerprint(spark):
     assert groups > 100 and 0.97 * groups <= got <= 1.03 * groups
 
 
+def test_line_dedup_whatever_the_size_of_buckets(spark, monkeypatch):
+    r, rows = random.Random(4), []
+    for k in range(150):  # pairs that share about half of their features
+        a = prose(f"size {k}", 5)
+        rows += [(2 * k, a), (2 * k + 1, "".join(r.choice("qxz") if i in (5, len(a) - 4) else c for i, c in enumerate(a)))]
+    gone = lambda: {x.doc_id for x in line_dedup.dedup_lines(documents(spark, rows)).filter("n_removed > 0").collect()}
+    want = gone()
+    monkeypatch.setattr(line_dedup, "CHUNK", 1)  # every bucket is over-full
+    assert len(want) > 50 and gone() == want
+
+
+def test_every_pair_of_a_bucket_meets_once():
+    import pyarrow as pa
+
+    n, k = 50, 4
+    chunk = np.arange(n) % k
+    rows = [(min(j, c), max(j, c), i, int(j < c)) for i, c in enumerate(chunk.tolist()) for j in range(k)]
+    rows = sorted(rows)
+    table = pa.table({"bucket": pa.array([7] * len(rows)), "slot": pa.array([a * line_dedup.CHUNKS + b for a, b, _, _ in rows]), "part": pa.array([p for *_, p in rows], pa.int8())})
+    keys = np.array([i for _, _, i, _ in rows])
+    prints = np.zeros(len(rows), np.uint64)
+    prints[keys % 2 == 1] = np.uint64(0b111)
+    met = Counter()
+    for low, high in ((-1, 2), (2, 20)):
+        for a, b in line_dedup.near_pairs(line_dedup.group_numbers(table), prints, line_dedup.parts_of(table), low, high):
+            met.update(map(frozenset, zip(keys[a].tolist(), keys[b].tolist(), strict=True)))
+    assert len(met) == n * (n - 1) // 2 and set(met.values()) == {1}
+
+
 def test_line_dedup_edges(spark, edge, nothing):
     got = line_dedup.dedup_lines(edge.withColumn("n_lines", F.lit("x"))).collect()
     by = {r.doc_id: r for r in got}
