@@ -68,6 +68,19 @@ def accept_until(gated: DataFrame, target: int) -> DataFrame:
     return kept.orderBy("place").limit(target)
 
 
+def accept_in_turn(order: DataFrame, gate, target: int, step: int = 1024) -> DataFrame:
+    """accept_until(gate(order), target), gating rows only as far as the target takes: twice as many places at each turn, up to all.
+
+    order: (place, ...), places from 0 without gaps, a written table; gate gives each row for itself (key, accepted) beside its
+    columns. A row is a repeat of earlier places alone, so the first `target` of a prefix that holds so many are those of the whole table."""
+    total = order.count()
+    while True:
+        found = staged(accept_until(gate(order.filter(F.col("place") < step)), target), "accepted")
+        if step >= total or found.count() >= target:
+            return found
+        step *= 2
+
+
 def length_report(df: DataFrame, by: str, text: str) -> DataFrame:
     """Word counts of each group: n, extremes, median, population deviation, distinct counts, and exclusive deciles from ten texts on."""
     words = df.select(by, T.word_count(F.col(text)).alias("w"))

@@ -12,6 +12,7 @@ from ..operators import retrieval as R
 from ..operators import sampling as S
 from ..operators import scoring as SC
 from ..operators.validation import Ledger
+from ..sources.scratch import staged
 from ..tables import Tables, sql
 from .annotate import harvestable
 from .features import RHO
@@ -26,9 +27,14 @@ def cc(spark, sf_dir):
     chunks = harvestable(spark, sf_dir)
     pools = chunks.select("chunk_id", F.explode("entities").alias("m")).select("chunk_id", F.explode("m.candidates").alias("c")).select("chunk_id", "c.qid")
     order = S.balanced_order(S.rarest_owner(pools), seed=3)
+    order = staged(order, "order")
     picked = S.select_mentions(chunks, [f"Q{i}" for i in range(5)], lambda sc: R.evidence(R.DEFAULT_THRESHOLDS, lambda s: sc[s]))
-    gated = order.join(S.harvest(picked, splitters.get("regex")), "chunk_id").withColumn("key", T.dedup_key(F.col("sentence"))).withColumn("accepted", (F.col("reason") == "ok") & (T.word_count(F.col("sentence")) >= 4))
-    return S.accept_until(gated, 60).select("chunk_id", "qid", "place", "sentence")
+
+    def gate(rows):
+        gated = rows.join(S.harvest(picked.join(F.broadcast(rows.select("chunk_id")), "chunk_id", "left_semi"), splitters.get("regex")), "chunk_id")
+        return gated.withColumn("key", T.dedup_key(F.col("sentence"))).withColumn("accepted", (F.col("reason") == "ok") & (T.word_count(F.col("sentence")) >= 4))
+
+    return S.accept_in_turn(order, gate, 60).select("chunk_id", "qid", "place", "sentence")
 
 
 @query("p11_truncated_spans")

@@ -430,6 +430,23 @@ def test_harvest_pipeline_is_the_same_again(spark, sf):
     assert max(per.values()) - min(per.values()) <= max(per.values()) // 2  # the pools give in turn
 
 
+def test_accept_in_turn_is_accept_until(spark):
+    order = spark.range(100).select(F.col("id").alias("place")).repartition(3)
+    asked = []
+
+    def gate(rows):
+        asked.append(rows.count())
+        return rows.withColumn("key", F.col("place") % 30).withColumn("accepted", F.col("place") % 3 == 0)
+
+    for target, most in ((3, 8), (5, 16), (10, 32), (11, 100)):  # ten keys are ever accepted
+        asked.clear()
+        want = sorted(r.place for r in S.accept_until(gate(order), target).collect())
+        asked.clear()
+        assert sorted(r.place for r in S.accept_in_turn(order, gate, target, 8).collect()) == want
+        assert max(asked) == most
+    assert S.accept_in_turn(order.limit(0), gate, 3, 8).count() == 0
+
+
 def test_leaked_items_in_blocks(spark):
     docs = spark.createDataFrame([("one two three",), (None,), ("four",)], "text string")
     items = spark.createDataFrame([(1, "two"), (2, "five"), (3, None), (4, "four")], "item_id long, text string")
