@@ -19,7 +19,9 @@ def annotated(spark, sf_dir):
     link = F.struct(a.alias("start"), (a + F.length("p_name")).alias("end"), F.col("p_name").alias("surface_form"), F.translate("p_name", " ", "_").alias("uri"), F.when(F.col("l_returnflag") == "R", F.concat(F.lit("Q"), "l_partkey")).alias("qcode"))
     ent = F.struct(a.alias("start"), F.length("p_name").alias("ln"), F.col("p_name").alias("text"), F.struct(F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Q"), F.col("l_partkey") % 50)).alias("wikidata_entity_id"), F.when(F.col("l_partkey") % 2 == 0, F.col("p_name")).alias("human_readable_name")).alias("predicted_entity"), (F.col("l_quantity") / 50).alias("entity_linking_model_confidence_score"))
     span = F.struct(F.array(a - 4, a + F.length("p_name")).alias("o"), F.concat(F.lit("the "), "p_name").alias("t"))
-    docs = li.groupBy(F.col("l_orderkey").cast("string").alias("id")).agg(F.array_sort(F.collect_list(link)).alias("hyperlinks_clean"), F.array_sort(F.collect_list(ent)).alias("entity_linking"), F.array_sort(F.collect_list(span)).alias("spans"))
+    # lines are narrower than the lists of them: they are dealt out by document before these are made
+    lines = li.select("l_partkey", "l_linenumber", "p_name", "l_returnflag", "l_quantity", F.col("l_orderkey").cast("string").alias("id")).repartition("id")
+    docs = lines.groupBy("id").agg(F.array_sort(F.collect_list(link)).alias("hyperlinks_clean"), F.array_sort(F.collect_list(ent)).alias("entity_linking"), F.array_sort(F.collect_list(span)).alias("spans"))
     coref = F.struct(F.array(F.transform("spans", lambda s: s["o"])).alias("clusters_char_offsets"), F.array(F.transform("spans", lambda s: s["t"])).alias("clusters_char_text"))
     return docs.select("id", "hyperlinks_clean", "entity_linking", coref.alias("coref")), t.entity_dim.select("qid", "name").dropDuplicates(["qid"])
 

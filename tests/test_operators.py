@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from annolith.functions import stats as X
@@ -153,6 +154,47 @@ def test_annotate_by_hand(spark):
     assert got[30, 38].candidates[0].scores_by_source.coref == 1.0
 
 
+def annotated_by_joins(docs, dim):
+    """What annotate() returns, flat, by joins of the single operators over whole tables."""
+    links, linking = A.hyperlink_mentions(docs), A.linked_mentions(docs, dim)
+    mentions = links.withColumn("order", F.struct(F.lit(0).alias("a"), "seq")).unionByName(linking.withColumn("order", F.struct(F.lit(1).alias("a"), "seq")))
+    spans = A.coref_spans(docs).select("doc_id", "cluster", "span", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("text").alias("span_text"))
+    cands = mentions.select("doc_id", F.col("start").alias("cand_start"), F.col("end").alias("cand_end"), "text", "id", "confidence", "order")
+    weights = A.mention_weights(A.overlap_join(spans, cands)).localCheckpoint()
+    at = ["doc_id", "cluster", "span"]
+    bare = spans.filter(~A.T.is_pronoun(F.col("span_text"))).join(weights.select(*at).distinct(), at, "left_anti").select(*at, "span_text")
+    anchors = weights.withColumn("seq", F.dense_rank().over(Window.partitionBy("doc_id", "cluster").orderBy("span", "order"))).select("doc_id", "cluster", "seq", "text", "id", "confidence")
+    inferred = A.inferred_spans(bare, anchors).localCheckpoint()
+    parts = weights.select("doc_id", "cluster", "id", F.col("cand_start").alias("start"), F.col("cand_end").alias("end"), F.struct("span", "order").alias("seq"), "weight")
+    told = inferred.select("doc_id", "cluster", "id", (-1 - F.col("span")).alias("start"), F.lit(-1).alias("end"), F.struct("span", F.struct(F.lit(2).alias("a"), F.lit(0).alias("seq")).alias("order")).alias("seq"), F.col("score").alias("weight"))
+    scored = A.span_scores(weights).unionByName(inferred.select(*at, "id", "score"))
+    place = spans.join(A.strong_clusters(scored), ["doc_id", "cluster"], "left_semi")
+    from_ = lambda d, source: d.select("doc_id", F.col("span_start").alias("start"), F.col("span_end").alias("end"), F.col("span_text").alias("text"), F.col("id").alias("qid"), F.lit(source).alias("source"), "score", "cluster", "span")
+    corefs = from_(place.join(scored, at), "coref").unionByName(from_(place.join(A.cluster_entity_scores(parts.unionByName(told)), ["doc_id", "cluster"]), "coref_cluster"))
+    corefs = corefs.join(dim.select("qid", "name"), "qid", "left").withColumn("name", F.coalesce("name", F.lit(""))).withColumn("seq", F.struct(F.lit(2).alias("a"), "cluster", "span"))
+    given = mentions.select("doc_id", "start", "end", "text", F.col("id").alias("qid"), F.when(F.col("type") == "link", "hyperlinks").otherwise("entity_linking").alias("source"), F.col("confidence").alias("score"), "name", F.struct(F.col("order.a").alias("a"), F.lit(0).alias("cluster"), F.col("seq").alias("span")).alias("seq"))
+    return A.merged_mentions(A.pivot_evidence(given.unionByName(corefs.select(*given.columns))))
+
+
+def test_annotate_agrees_with_joins_and_shuffles_only_names(spark):
+    r = random.Random(11)
+    words = ["Rome", "the Rome", "Roma's", "it", "The", "", "Romé city", "an Ostia", None, "Ostia antica"]
+    place = lambda: r.choice([None, *range(0, 90, 3)])
+    docs = []
+    for i in range(60):
+        link = [{"start": (a := place()), "end": a and a + r.randint(0, 12), "surface_form": r.choice(words), "uri": r.choice(["a_b", "", None]), "qcode": r.choice(["Q1", "Q2", "", None])} for _ in range(r.randint(0, 4))]
+        ent = [{"start": place(), "ln": r.randint(0, 12), "text": r.choice(words), "predicted_entity": r.choice([None, {"wikidata_entity_id": r.choice(["Q1", "Q3", "Q4", ""]), "human_readable_name": r.choice(["", None, "N"])}]), "entity_linking_model_confidence_score": r.choice([None, 0.0, 0.25, 0.7, 1.0])} for _ in range(r.randint(0, 5))]
+        sizes = [r.randint(0, 4) for _ in range(r.randint(0, 3))]
+        coref = {"clusters_char_offsets": [[[(a := r.randint(0, 90)), a + r.randint(0, 12)] for _ in range(n)] for n in sizes], "clusters_char_text": [[r.choice(words) for _ in range(n)] for n in sizes]}
+        docs.append({"id": f"d{i}", "hyperlinks_clean": r.choice([None, link, link, link]), "entity_linking": r.choice([None, ent, ent, ent]), "coref": r.choice([None, coref, coref, coref])})
+    docs = spark.read.schema(A.DOCUMENT).json(spark.sparkContext.parallelize([json.dumps(d) for d in docs]))
+    dim = spark.createDataFrame([("Q1", "Rome"), ("Q2", None), ("Q3", "Ostia")], "qid string, name string")
+    got = A.annotate(docs, dim)
+    assert {x.doc_id: x.entities for x in got.collect()} == {x.doc_id: x.entities for x in annotated_by_joins(docs, dim).collect()}
+    # names meet the entities and the documents: nothing else is joined
+    assert got._jdf.queryExecution().sparkPlan().toString().count("Join") == 2
+
+
 def test_overlap_join_pieces_agree(spark):
     r = random.Random(3)
     spans = spark.createDataFrame([(d, a, a + r.randint(0, 90), i) for i, (d, a) in enumerate((r.randint(0, 2), r.randint(0, 300)) for _ in range(80))], "doc_id int, span_start int, span_end int, i int")
