@@ -785,3 +785,29 @@ def test_repeated_passages_edges(spark, edge, nothing):
     got = chaining.repeated_passages(edge).collect()
     assert sorted(r.doc_id for r in got) == [5, 5, 6] and {r.n_repeated_words for r in got} == {80}
     assert chaining.repeated_passages(nothing).count() == 0
+
+
+def test_op10_aligns_a_group_of_near_copies_once_a_member(spark, monkeypatch):
+    """Each copy with edits of its own, and texts that say a line again and again: alignments that tell nothing new aren't made, and every copy is still one passage."""
+    r = random.Random(5)
+    words = [f"w{r.randint(0, 10**9)}" for _ in range(200)]
+    texts = []
+    for i in range(40):
+        own = list(words)
+        for at in r.sample(range(20, 180), 12):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    texts += [" ".join(["one line says it all over"] * n) for n in (30, 40, 50)]
+    made, plain = [], chaining.aligned
+
+    def counted(*args):
+        out = plain(*args).localCheckpoint()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(chaining, "aligned", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x for x in chaining.repeated_passages(docs).collect()}
+    assert sum(made) <= 2 * len(texts)
+    assert all(got[i].component_id == 0 and [tuple(p) for p in got[i].passages] == [(0, 200)] for i in range(40))
+    assert all(got[i].component_id == 40 and got[i].n_repeated_words == len(texts[i].split()) for i in (40, 41, 42))
