@@ -6,12 +6,15 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from annolith.llm import chaining, chat, decontaminate, html_extract, langid, line_dedup, mil, mixing, quality_rules, queries, simhash_dedup
+from annolith.llm.decontaminate import word_hashes
+from annolith.llm.textkit import Hasher, byte_table
 
 from .helpers import EDGE, Union, documents, levenshtein, prose
 
@@ -811,3 +814,39 @@ def test_op10_aligns_a_group_of_near_copies_once_a_member(spark, monkeypatch):
     assert sum(made) <= 2 * len(texts)
     assert all(got[i].component_id == 0 and [tuple(p) for p in got[i].passages] == [(0, 200)] for i in range(40))
     assert all(got[i].component_id == 40 and got[i].n_repeated_words == len(texts[i].split()) for i in (40, 41, 42))
+
+
+def test_op10_aligns_pairs_between_a_seeds_ends(spark):
+    """Two texts share a passage with edits, each piece of which stands in texts of lesser and of greater hash: the stars' ends aren't among the two."""
+    hasher, table = Hasher(), byte_table(True)
+
+    def mark(text):
+        return next(int(chaining.row_hashes(h, w.first)[0].view(np.int64)) for _, w, h in word_hashes(pa.array([text]), hasher, table))
+
+    rows, pairs = [], []
+    for k in range(8):
+        part = prose(f"between {k}", 66).split()
+        other = [f"x{k}y{i}" if i % 11 == 10 else w for i, w in enumerate(part)]
+        made = lambda p, t: " ".join([prose(f"bq {k} {t} {p[10]}", 40), *p, prose(f"br {k} {t} {p[10]}", 40)])  # noqa: E731, B023
+        texts = [next(x for t in range(99) if abs(mark(x := made(p, t))) < 1 << 62) for p in (part, other)]  # neither is an end
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, t) for i, t in enumerate(texts)]
+        for n, at in enumerate(range(0, 66, 11)):
+            for low in (True, False):
+                piece = (" ".join([prose(f"bs {k} {n} {low} {t}", 30), *part[at : at + 10], prose(f"bt {k} {n} {low} {t}", 30)]) for t in range(99))
+                rows.append((len(rows), next(x for x in piece if (mark(x) < -(1 << 62) if low else mark(x) > 1 << 62))))
+    got = {x.doc_id: x for x in chaining.repeated_passages(documents(spark, rows)).collect()}
+    assert set(got) == {d for p in pairs for d in p}
+    assert all(got[a].component_id == got[b].component_id == a and got[a].n_repeated_words >= 55 for a, b in pairs)
+
+
+def test_open_pairs_are_all_but_the_settled(monkeypatch):
+    r = np.random.default_rng(3)
+    for n, most in ((1, 9), (2, 9), (7, 3), (60, 9), (60, 1000)):
+        monkeypatch.setattr(chaining, "PAIRS", most)
+        key, label, covered = r.integers(0, 3, n), r.integers(0, 4, n), r.random(n) < 0.6
+        order = np.lexsort((covered, label, key))
+        key, label, covered = key[order], label[order], covered[order]
+        got = [x for a, b in chaining.open_pairs(key, label, covered) for x in zip(a.tolist(), b.tolist(), strict=True)]
+        assert len(got) == len(set(got))
+        assert set(got) == {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and (label[i] != label[j] or not (covered[i] and covered[j]))}
