@@ -217,24 +217,24 @@ def edit_distance(a: str, b: str, most: int) -> int:
         return most + 1
     if not a or not b:
         return len(a) + len(b)
+    # rows of a within the diagonals that a way of `most` edits can reach and come back from, bit 0 the uppermost, a row down with each column
+    n, m, most = len(a), len(b), min(most, max(len(a), len(b)))
+    low, high = (most - n + m) // 2, (most + n - m) // 2
     where: dict[str, int] = {}
-    for k, x in enumerate(a):
+    for k, x in enumerate(a, low):
         where[x] = where.get(x, 0) | 1 << k
-    full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score, size = full, 0, len(a), -(-len(a) // 8)
+    full, end = (1 << low + high + 1) - 1, 1 << low + n - m
+    up, down, score = full >> low << low, 0, max(0, n - m)
     for k, y in enumerate(b):
-        eq = where.get(y, 0)
-        xv, xh = eq | down, (((eq & up) + up) ^ up) | eq
-        ph, mh = down | (full & ~(xh | up)), up & xh
-        score += 1 if ph & last else -1 if mh & last else 0
-        if score - (len(b) - k - 1) > most:
-            return most + 1
-        ph, mh = (ph << 1 | 1) & full, (mh << 1) & full
-        up, down = mh | (full & ~(xv | ph)), ph & xv
-        if k & 63 == 63:  # every way goes through this column
-            steps = np.unpackbits(np.frombuffer(up.to_bytes(size, "little") + down.to_bytes(size, "little"), np.uint8).reshape(2, -1), axis=1, bitorder="little").view(np.int8)
-            if k + 1 + min(0, int(np.cumsum(steps[0] - steps[1], dtype=np.int32)[: len(a)].min())) > most:
-                return most + 1
+        eq = where.get(y, 0) >> k & full
+        diagonal = ((((eq & up) + up) ^ up) | eq | down) & full
+        ph, mh = down | (full ^ (diagonal | up)), diagonal & up
+        if not diagonal & end:  # along the last cell's diagonal, where distances don't fall
+            score += 1
+            if score > most:
+                return score
+        diagonal >>= 1
+        up, down = mh | (full ^ (diagonal | ph)), diagonal & ph
     return score
 
 
@@ -270,8 +270,39 @@ def most_edits(a: str, b: str, least: float) -> int:
     return int((1 - least) * max(len(a), len(b)) + 1e-9)
 
 
+#: Classes of characters that are counted: of lower-case Latin text, one for each letter.
+CLASSES = 32
+
+
+def letters_of(texts: pa.ChunkedArray, at: np.ndarray) -> np.ndarray:
+    """How many characters of each class the texts `at` have, a row each."""
+    out = np.empty((len(at), CLASSES), np.int32)
+    raw, off = utf8(texts.take(pa.array(at)))
+    for lo, hi in runs(off):
+        data = raw[off[lo] : off[hi]]
+        row = np.repeat(np.arange(0, CLASSES * (hi - lo), CLASSES), np.diff(off[lo : hi + 1]))
+        whole = (data & 0xC0) != 0x80  # the bytes that begin a character; those after a first byte tell most of another script's characters apart
+        kind = data & (CLASSES - 1)
+        more = np.flatnonzero(~whole[1:] & whole[:-1])
+        kind[more] = kind[more + 1] & (CLASSES - 1)
+        out[lo:hi] = np.bincount(row[whole] + kind[whole], minlength=CLASSES * (hi - lo)).reshape(-1, CLASSES)
+    return out
+
+
+def apart_at_least(letters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the edit distances of the texts a and b: an edit adds one character, takes one or both."""
+    out = np.empty(len(a), np.int64)
+    for lo in range(0, len(a), LOOK):
+        d = letters[a[lo : lo + LOOK]] - letters[b[lo : lo + LOOK]]
+        more = np.maximum(d, 0).sum(1)
+        out[lo : lo + LOOK] = np.maximum(more, more - d.sum(1))
+    return out
+
+
 #: Pairs that are compared side by side, the fewest for which that pays, and words of memory for their characters' places.
-SIDE, FEW, ROOM = 512, 12, 4 << 20
+SIDE, FEW, ROOM = 1024, 12, 4 << 20
+#: Steps between two looks at which pairs are over their number.
+CHECK = 48
 
 
 def places(texts: list[np.ndarray], letters: int, blocks: int) -> np.ndarray:
@@ -287,12 +318,29 @@ def places(texts: list[np.ndarray], letters: int, blocks: int) -> np.ndarray:
     return out.reshape(blocks, -1)
 
 
-def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: int) -> np.ndarray:
-    """Edit distances of texts of letter numbers, no text empty, side by side; a distance over `most` may be any number over it.
+def lower_bound(score: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """The least value of each column of blocks, the rows above the blocks included, by the steps down of their rows and the scores of their last ones."""
+    u, d = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, 8) for x in (up, down))
+    step = u.astype(np.int32) << 8 | d
+    total, most = STEP_SUM[step], STEP_MOST[step]
+    # what the rows below a byte add
+    below = np.cumsum(total[..., ::-1], axis=-1, dtype=np.int32)[..., ::-1] - total
+    return (score - np.maximum(0, (below + most).max(-1))).min(0)
+
+
+#: Of a byte of steps up and one of steps down: their sum, and the greatest sum of its last ones.
+_UP, _DOWN = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1 for _ in range(2))
+STEP_SUM = (_UP.sum(1)[:, None] - _DOWN.sum(1)).astype(np.int8).ravel()
+STEP_MOST = np.cumsum((_UP[:, None] - _DOWN[None]).astype(np.int8), axis=-1, dtype=np.int8).max(-1).ravel()
+
+
+def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: np.ndarray) -> np.ndarray:
+    """Edit distances of texts of letter numbers, no text empty, side by side; a distance over the pair's `most` may be any number over it.
 
     Rows are a's characters in blocks of 64, and each step takes every block one column on, a column behind the
-    block above it. A block reads the columns within `most` of its diagonals; what lies outside counts as
-    reached from above or from the left alone, which no way of `most` edits does."""
+    block above it. A block reads the columns of the diagonals that a way of `most` edits can reach and come back
+    from; what lies outside counts as reached from above or from the left alone, which no such way does. Pairs all
+    of whose ways are over `most` where they stand are looked for every CHECK steps, and left when they are many."""
     one, full = np.uint64(1), ~np.uint64(0)
     n, m = np.array([len(t) for t in a]), np.array([len(t) for t in b])
     blocks, width = (int(n.max()) + 63) >> 6, int(m.max())
@@ -305,19 +353,20 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: int)
     offset = np.arange(blocks)[:, None] * table.shape[1]
     table = table.ravel()
     k = np.arange(blocks)
-    begins, ends = np.maximum(0, 64 * k - most - 1), np.minimum(width, 64 * (k + 1) + most)  # columns of each block
-    shape = (blocks, len(a))
-    up, down, score = np.full(shape, full), np.zeros(shape, np.uint64), np.zeros(shape, np.int64)  # score: of the block's last row
+    # d diagonals off to one side, and back to the end, are d edits and |m - n - d| more
+    right, left = int(np.max((most + m - n) // 2)), int(np.max((most - m + n) // 2))
+    begins, ends = np.maximum(0, 64 * k - max(left, 0) - 1), np.minimum(width, 64 * (k + 1) + max(right, 0))  # columns of each block
     plus, minus = np.ones((blocks + 1, len(a)), np.uint64), np.zeros((blocks + 1, len(a)), np.uint64)  # steps of the row above each block
+    up, down, score = np.full((blocks, len(a)), full), np.zeros((blocks, len(a)), np.uint64), np.zeros((blocks, len(a)), np.int64)  # score: of the block's last row
     score[0] = 64
-    at = np.empty(shape, np.int64)
-    eq_, xv_, xh_, ph_, mh_ = (np.empty(shape, np.uint64) for _ in range(5))
-    out = np.full(len(a), most + 1)
+    at = np.empty(up.shape, np.int64)
+    eq_, xv_, xh_, ph_, mh_ = (np.empty(up.shape, np.uint64) for _ in range(5))
+    out = most + 1
     home = (n - 1) >> 6
-    order = np.argsort(m - 1 + home, kind="stable")
-    when = (m - 1 + home)[order].tolist()
-    lo = hi = done = 0
-    for t in range(when[-1] + 1):
+    when = m - 1 + home
+    ids, last, halts = np.arange(len(a)), int(when.max()), set(when.tolist())
+    lo = hi = 0
+    for t in range(last + 1):
         while lo < hi and t - lo >= ends[lo]:
             lo += 1
         while hi + 1 < blocks and t - hi - 1 >= begins[hi + 1]:
@@ -359,12 +408,24 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: int)
         np.bitwise_and(xh, xv, out=d)
         score[r] += plus[below].view(np.int64)
         score[r] -= minus[below].view(np.int64)
-        while done < len(when) and when[done] == t:
-            i = order[done]
-            b_, rest = int(home[i]), full << np.uint64((int(n[i]) - 1) & 63) << one  # the rows after the text
-            if lo <= b_ <= hi:
-                out[i] = score[b_, i] - int(np.bitwise_count(up[b_, i] & rest)) + int(np.bitwise_count(down[b_, i] & rest))
-            done += 1
+        if t in halts:
+            for i in np.flatnonzero(when[ids] == t).tolist():
+                x = ids[i]
+                b_, rest = int(home[x]), full << np.uint64((int(n[x]) - 1) & 63) << one  # the rows after the text
+                if lo <= b_ <= hi:
+                    out[x] = score[b_, i] - int(np.bitwise_count(up[b_, i] & rest)) + int(np.bitwise_count(down[b_, i] & rest))
+        if t % CHECK == CHECK - 1 and t < last:
+            # a way goes on from these columns, or from a neighbour of theirs
+            keep = (when[ids] > t) & (lower_bound(score[r], up[r], down[r]) - 1 <= most[ids])
+            if 4 * np.count_nonzero(keep) <= 3 * len(ids):
+                if not keep.any():
+                    break
+                ids, last = ids[keep], int(when[ids[keep]].max())
+                up, down, score, plus, minus = (np.ascontiguousarray(x[:, keep]) for x in (up, down, score, plus, minus))
+                at, column = np.ascontiguousarray(at[:, keep]), np.ascontiguousarray(column[:, keep])
+                eq_, xv_, xh_, ph_, mh_ = (np.empty(up.shape, np.uint64) for _ in range(5))
+        if t >= last:
+            break
     return out
 
 
@@ -390,7 +451,7 @@ def within_edits(pairs: list[tuple[str, str, int]]) -> list[bool]:
             for i in some:
                 found[i] = edit_distance(*pairs[i]) <= pairs[i][2]
         else:
-            got = distances([codes[pairs[i][0]] for i in some], [codes[pairs[i][1]] for i in some], len(known), max(pairs[i][2] for i in some))
+            got = distances([codes[pairs[i][0]] for i in some], [codes[pairs[i][1]] for i in some], len(known), np.array([pairs[i][2] for i in some]))
             for i, x in zip(some, got.tolist(), strict=True):
                 found[i] = x <= pairs[i][2]
         lo = hi
@@ -510,6 +571,10 @@ def linked(batches, least: float):
                 for t in range(TABLES):
                     before |= (marks[left, t] == marks[right, t]) & (t < table[left])
                 left, right = left[~before], right[~before]
+                there, where = np.unique(np.concatenate([left, right]), return_inverse=True)
+                a, b = where[: len(left)], where[len(left) :]
+                fits = apart_at_least(letters_of(texts, there), a, b) <= (1 - least) * np.maximum(size[left], size[right]) + 1e-9
+                left, right = left[fits], right[fits]
                 order = np.argsort(np.bitwise_count(prints[left] ^ prints[right]), kind="stable")
                 left, right = left[order], right[order]
                 for a in range(0, len(left), LOOK):

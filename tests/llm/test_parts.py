@@ -160,3 +160,60 @@ def test_distances_side_by_side():
         assert len(pairs) >= line_dedup.FEW
         assert line_dedup.within_edits(pairs) == [levenshtein(a, b) <= most for a, b, most in pairs]
     assert line_dedup.within_edits([]) == []
+
+
+def test_letters_bound_the_distance_from_below():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = ["", "a", "é漢 a"] + ["".join(r.choice(k) for _ in range(r.randint(1, 40))) for k in ("abc ", "xyzé", "漢字語 a", "аб вг", "😀a1٣") for _ in range(12)]
+    letters = line_dedup.letters_of(pa.chunked_array([texts[:9], texts[9:]]), np.arange(len(texts)))
+    assert letters.sum(1).tolist() == [len(t) for t in texts]
+    a, b = (x.ravel() for x in np.indices((len(texts), len(texts))))
+    got = line_dedup.apart_at_least(letters, a, b).tolist()
+    assert all(x <= levenshtein(texts[i], texts[j]) for x, i, j in zip(got, a.tolist(), b.tolist(), strict=True))
+    i, j = texts.index("a"), texts.index("é漢 a")
+    assert got[i * len(texts) + j] == 3
+
+
+def test_pairs_of_other_letters_are_not_compared(monkeypatch):
+    """Of lines that meet in a bucket with near fingerprints, those whose letters alone differ too much."""
+    import pyarrow as pa
+
+    r = random.Random(9)
+    one = [" ".join("".join(r.choice(k) for _ in range(6)) for _ in range(20)) for k in ("abcdef", "ghijkl", "mnopqr", "stuvwx") for _ in range(6)]
+    texts = sorted(one + [t[:-3] + "zzz" for t in one[::6]])
+    marks = line_dedup.packed(np.tile(np.arange(line_dedup.TABLES, dtype=np.uint32), (len(texts), 1)))
+    rows = pa.table({"bucket": pa.array([5] * len(texts)), "slot": pa.array([0] * len(texts)), "key": pa.array(range(len(texts))), "print": pa.array([7] * len(texts)), "part": pa.array([0] * len(texts), pa.int8()), "normal": texts, "marks": marks})
+    rough, met = line_dedup.rough_distance, []
+    monkeypatch.setattr(line_dedup, "rough_distance", lambda a, b, most: met.append((a, b)) or rough(a, b, most))
+    edges = {frozenset((texts[u], texts[v])) for b in line_dedup.linked(rows.to_batches(), 0.8) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert edges == {frozenset((t, t[:-3] + "zzz")) for t in one[::6]}
+    assert len(met) <= 4 * 7 * 6 // 2 < len(texts) * (len(texts) - 1) // 2
+
+
+def test_unlike_pairs_are_left_early(monkeypatch):
+    """Pairs of all lengths, differences of length and distances in one batch, whenever it is looked for those to leave; and unlike ones take few steps."""
+    r, pairs = random.Random(10), []
+    for _ in range(150):
+        a = "".join(r.choice("abcdé ") for _ in range(r.randint(30, 260)))
+        b = list(a) if r.random() < 0.6 else r.choices("abcdé ", k=max(1, len(a) + r.randint(-9, 9)))
+        for _ in range(r.randint(0, len(a) // 3)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randint(0, 1)] = r.choice(["", "x", "a"])
+        pairs.append((a, "".join(b) or "y", r.choice((0, 1, 7, len(a) // 5, len(a) // 3))))
+    pairs = [p for p in pairs if abs(len(p[0]) - len(p[1])) <= p[2]]
+    texts = [[np.array([ord(c) for c in p[i]]) for p in pairs] for i in (0, 1)]
+    known = np.unique(np.concatenate(sum(texts, [])))
+    texts = [[np.searchsorted(known, t) for t in side] for side in texts]
+    want, most = [levenshtein(a, b) for a, b, _ in pairs], np.array([p[2] for p in pairs])
+    assert len(pairs) > 80 and 20 < sum(d <= m for d, (*_, m) in zip(want, pairs, strict=True)) < len(pairs) - 20
+    for check in (1, 5, 48, 10**6):
+        monkeypatch.setattr(line_dedup, "CHECK", check, raising=False)
+        got = line_dedup.distances(*texts, len(known), most).tolist()
+        assert all(x == d if d <= m else x > m for x, d, m in zip(got, want, most.tolist(), strict=True))
+    monkeypatch.setattr(line_dedup, "CHECK", 48)
+    take, steps = np.take, []
+    monkeypatch.setattr(line_dedup.np, "take", lambda *x, **y: steps.append(1) or take(*x, **y))
+    unlike = [("".join(r.choice("abcde") for _ in range(1000)), "".join(r.choice("fghij") for _ in range(1000)), 200) for _ in range(20)]
+    assert not any(line_dedup.within_edits(unlike)) and len(steps) < 500
