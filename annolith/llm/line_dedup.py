@@ -519,10 +519,10 @@ class Links:
         return x
 
     def link(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[a] = b
-            self.edges.append((x, y))
+        a, b = sorted((self.root(x), self.root(y)))
+        if a != b:  # the groups' least lines: nearly the stars that the rounds after it make
+            self.up[b] = a
+            self.edges.append((a, b))
 
     def compare(self, x: int, y: int, a: str, b: str, least: float) -> None:
         most = most_edits(a, b, least)
@@ -593,16 +593,46 @@ def linked(batches, least: float):
     yield links.taken()
 
 
-def buckets_of(distinct: DataFrame, bitmap: bytes | None = None) -> DataFrame:
-    """(bucket, key, print) of every line under the key of every table, whose number is the bucket's top four bits. bitmap: only buckets that it may hold."""
+def bucket_numbers(marks: np.ndarray, t: int) -> np.ndarray:
+    """The bucket of each line in table t, whose number is the bucket's top four bits."""
+    return mix(marks[:, t] + np.uint64(t << 32)) >> np.uint64(4) | np.uint64(t << 60)
+
+
+def bucket_sizes(distinct: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets of more than one line. Nearly all are of one, so that they are counted in a batch, where a large one becomes a row, and then where they are dealt to."""
+
+    def make():
+        def run(batch):
+            marks = unpacked(batch.column(0)).astype(np.uint64)
+            bucket, n = np.unique(np.concatenate([bucket_numbers(marks, t) for t in range(TABLES)]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), pa.array(n)], ["bucket", "n"])
+
+        return run
+
+    def summed(batches):
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if held:
+            bucket, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(bucket)
+            bucket = bucket[order]
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            total = np.add.reduceat(n[order], first) if len(first) else n
+            many = total > 1
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first][many]), pa.array(total[many])], ["bucket", "n"])
+
+    return mapped(distinct.select("marks"), make, "bucket long, n long").repartition("bucket").mapInArrow(summed, "bucket long, n long")
+
+
+def buckets_of(distinct: DataFrame, bitmap: bytes) -> DataFrame:
+    """(bucket, key, print) of every line under the key of every table, of the buckets that the bitmap may hold."""
 
     def make():
         def run(batch):
             marks = unpacked(batch.column(2)).astype(np.uint64)
             at, buckets = [], []
             for t in range(TABLES):
-                b = mix(marks[:, t] + np.uint64(t << 32)) >> np.uint64(4) | np.uint64(t << 60)
-                keep = np.flatnonzero(in_bitmap(bitmap, b)) if bitmap is not None else np.arange(len(b))
+                b = bucket_numbers(marks, t)
+                keep = np.flatnonzero(in_bitmap(bitmap, b))
                 at.append(keep)
                 buckets.append(b[keep])
             at = pa.array(np.concatenate(at))
@@ -619,7 +649,7 @@ CHUNKS = 100_000_000
 
 def grouped(distinct: DataFrame) -> DataFrame:
     """(bucket, slot, key, print, part) of the lines that share a bucket: one slot for up to CHUNK lines, else a slot for each pair of chunks that the row's chunk is in, part 1 being the greater of the two."""
-    sizes = stage(buckets_of(distinct).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    sizes = stage(bucket_sizes(distinct))
     rows = buckets_of(distinct, key_bitmap(sizes, "bucket"))
     # at most TABLES buckets for every CHUNK lines
     over = stage(sizes.filter(F.col("n") > CHUNK).select("bucket", F.ceil(F.col("n") / CHUNK).cast("int").alias("k")))
@@ -640,7 +670,8 @@ def similar_lines(docs: DataFrame, distinct: DataFrame, least: float) -> DataFra
     release(spark)
     texts = stage(texts_of(docs, key_bitmap(suspects, "key")))
     release(spark)
-    full = suspects.join(texts, "key").select("bucket", "slot", "key", "print", "part", "normal", "marks")
+    # the narrow side is hashed (a key has a row for each of its slots), so that no texts are sorted
+    full = suspects.hint("shuffle_hash").join(texts, "key").select("bucket", "slot", "key", "print", "part", "normal", "marks")
     edges = stage(together(full).mapInArrow(lambda batches: linked(batches, least), "u long, v long"))
     drop(suspects)
     drop(texts)
@@ -676,7 +707,7 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
     docs = docs.drop(*[c for c in ("n_lines", "n_removed") if c not in (id_col, text_col)])
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gone = removed_lines(source, least).select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("_gone_id"), "left").drop("_gone_id")
     names = docs.columns
 
     def run(batches):
