@@ -62,7 +62,12 @@ def packed(marks: np.ndarray) -> pa.Array:
 
 
 def unpacked(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, TABLES)
+    """The rows of packed(), none of them null."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, TABLES), np.uint32)
+    return np.frombuffer(data, np.uint8, 4 * TABLES * len(column), int(np.frombuffer(offsets, np.int32)[column.offset])).view(np.uint32).reshape(-1, TABLES)
 
 
 def odd_majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -130,6 +135,19 @@ class Lines:
         a, b = words.first[self.some[i]], words.first[self.some[i] + 1] - 1
         return b" ".join(words.data[words.starts[a] : words.ends[b]].tobytes().replace(b"\0", b" ").split()).decode()
 
+    def normals(self, at: np.ndarray) -> pa.Array:
+        """The normalised texts of the lines `at`."""
+        words, n = self.words, self.n[self.some[at]]
+        w = spans_of(words.first[self.some[at]], n)
+        lengths = words.ends[w] - words.starts[w]
+        last = np.cumsum(n) - 1
+        sizes = lengths + 1  # a blank after each word but the last
+        sizes[last] -= 1
+        ends = np.cumsum(sizes)
+        text = np.full(int(sizes.sum()), 32, np.uint8)
+        text[spans_of(ends - sizes, lengths)] = words.data[spans_of(words.starts[w], lengths)]
+        return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.concatenate([[0], ends[last]]).astype(np.int64)), pa.py_buffer(text)]).cast(pa.string())
+
 
 def line_runs(column: pa.Array, hasher: Hasher, table: np.ndarray):
     """(first row, Lines) of runs of rows."""
@@ -169,25 +187,18 @@ def texts_of(docs: DataFrame, bitmap: bytes) -> DataFrame:
     """(key, normal, marks): the normalised text and the tables' keys of lines that the bitmap may hold."""
 
     def make():
-        hasher, table = Hasher(), normal_table()
-        given: set[int] = set()
+        hasher, table, seen = Hasher(), normal_table(), Seen()
 
         def run(batch):
             keys, texts, marks = [], [], []
             for _, x in line_runs(batch.column(1), hasher, table):
-                held = []
-                for i in np.flatnonzero(in_bitmap(bitmap, x.key)).tolist():
-                    k = int(x.key[i].view(np.int64))
-                    if k not in given:
-                        given.add(k)
-                        held.append(i)
-                        keys.append(k)
-                        texts.append(x.normal(i))
-                if held:
-                    marks.append(tokens_in_tables(*x.features(np.array(held))))
-            if len(given) > 1_000_000:
-                given.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(texts, pa.string()), packed(np.concatenate(marks))], ["key", "normal", "marks"]) if keys else None
+                held = np.flatnonzero(in_bitmap(bitmap, x.key))
+                held = held[seen.new(x.key[held])]
+                if len(held):
+                    keys.append(x.key[held].view(np.int64))
+                    texts.append(x.normals(held))
+                    marks.append(tokens_in_tables(*x.features(held)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays(texts), packed(np.concatenate(marks))], ["key", "normal", "marks"]) if keys else None
 
         return run
 
@@ -300,7 +311,7 @@ def apart_at_least(letters: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
 
 
 #: Pairs that are compared side by side, the fewest for which that pays, and words of memory for their characters' places.
-SIDE, FEW, ROOM = 1024, 12, 4 << 20
+SIDE, FEW, ROOM = 2048, 12, 4 << 20
 #: Steps between two looks at which pairs are over their number.
 CHECK = 48
 
@@ -334,13 +345,14 @@ STEP_SUM = (_UP.sum(1)[:, None] - _DOWN.sum(1)).astype(np.int8).ravel()
 STEP_MOST = np.cumsum((_UP[:, None] - _DOWN[None]).astype(np.int8), axis=-1, dtype=np.int8).max(-1).ravel()
 
 
-def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: np.ndarray) -> np.ndarray:
+def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: np.ndarray, alone=None) -> np.ndarray:
     """Edit distances of texts of letter numbers, no text empty, side by side; a distance over the pair's `most` may be any number over it.
 
     Rows are a's characters in blocks of 64, and each step takes every block one column on, a column behind the
     block above it. A block reads the columns of the diagonals that a way of `most` edits can reach and come back
     from; what lies outside counts as reached from above or from the left alone, which no such way does. Pairs all
-    of whose ways are over `most` where they stand are looked for every CHECK steps, and left when they are many."""
+    of whose ways are over `most` where they stand are looked for every CHECK steps, and left when they are many.
+    alone: gives the distance of one pair, by its number; it takes over where few pairs are left of many steps."""
     one, full = np.uint64(1), ~np.uint64(0)
     n, m = np.array([len(t) for t in a]), np.array([len(t) for t in b])
     blocks, width = (int(n.max()) + 63) >> 6, int(m.max())
@@ -418,9 +430,14 @@ def distances(a: list[np.ndarray], b: list[np.ndarray], letters: int, most: np.n
             # a way goes on from these columns, or from a neighbour of theirs
             keep = (when[ids] > t) & (lower_bound(score[r], up[r], down[r]) - 1 <= most[ids])
             if 4 * np.count_nonzero(keep) <= 3 * len(ids):
-                if not keep.any():
+                ids = ids[keep]
+                last = int(when[ids].max()) if len(ids) else t
+                if alone and len(ids) * (last + 1) <= FEW * (last - t):
+                    for i in ids.tolist():
+                        out[i] = alone(i)
+                    break
+                if t >= last:
                     break
-                ids, last = ids[keep], int(when[ids[keep]].max())
                 up, down, score, plus, minus = (np.ascontiguousarray(x[:, keep]) for x in (up, down, score, plus, minus))
                 at, column = np.ascontiguousarray(at[:, keep]), np.ascontiguousarray(column[:, keep])
                 eq_, xv_, xh_, ph_, mh_ = (np.empty(up.shape, np.uint64) for _ in range(5))
@@ -442,7 +459,7 @@ def within_edits(pairs: list[tuple[str, str, int]]) -> list[bool]:
         hi = lo
         while hi < len(order) and hi - lo < SIDE:
             longest = max(map(len, pairs[order[hi]][:2]))
-            if longest > 1.3 * shortest + 64 or (hi + 1 - lo) * (len(known) * ((longest + 63) >> 6) + longest) > ROOM:
+            if longest > 2 * shortest + 64 or (hi + 1 - lo) * (len(known) * ((longest + 63) >> 6) + longest) > ROOM:
                 break
             hi += 1
         hi = max(hi, lo + 1)
@@ -451,7 +468,7 @@ def within_edits(pairs: list[tuple[str, str, int]]) -> list[bool]:
             for i in some:
                 found[i] = edit_distance(*pairs[i]) <= pairs[i][2]
         else:
-            got = distances([codes[pairs[i][0]] for i in some], [codes[pairs[i][1]] for i in some], len(known), np.array([pairs[i][2] for i in some]))
+            got = distances([codes[pairs[i][0]] for i in some], [codes[pairs[i][1]] for i in some], len(known), np.array([pairs[i][2] for i in some]), lambda i: edit_distance(*pairs[some[i]]))
             for i, x in zip(some, got.tolist(), strict=True):
                 found[i] = x <= pairs[i][2]
         lo = hi
@@ -524,9 +541,10 @@ class Links:
             self.up[b] = a
             self.edges.append((a, b))
 
-    def compare(self, x: int, y: int, a: str, b: str, least: float) -> None:
+    def compare(self, x: int, y: int, a: str, b: str, least: float, bound: int) -> None:
+        """bound: a lower bound of the distance; if it's high, the rough one is hardly ever low enough, and only the exact one tells."""
         most = most_edits(a, b, least)
-        if rough_distance(a, b, most) <= most:
+        if 2 * bound <= most and rough_distance(a, b, most) <= most:
             self.link(x, y)
             return
         self.waiting.append((x, y, a, b, most))
@@ -573,19 +591,20 @@ def linked(batches, least: float):
                 left, right = left[~before], right[~before]
                 there, where = np.unique(np.concatenate([left, right]), return_inverse=True)
                 a, b = where[: len(left)], where[len(left) :]
-                fits = apart_at_least(letters_of(texts, there), a, b) <= (1 - least) * np.maximum(size[left], size[right]) + 1e-9
-                left, right = left[fits], right[fits]
+                bound = apart_at_least(letters_of(texts, there), a, b)
+                fits = bound <= (1 - least) * np.maximum(size[left], size[right]) + 1e-9
+                left, right, bound = left[fits], right[fits], bound[fits]
                 order = np.argsort(np.bitwise_count(prints[left] ^ prints[right]), kind="stable")
-                left, right = left[order], right[order]
+                left, right, bound = left[order], right[order], bound[order]
                 for a in range(0, len(left), LOOK):
-                    some, other = left[a : a + LOOK], right[a : a + LOOK]
+                    some, other, low_ = left[a : a + LOOK], right[a : a + LOOK], bound[a : a + LOOK]
                     if len(left) > LOOK:  # most pairs of a large group are connected by the nearest
                         root = np.array([links.root(k) for k in keys])
                         apart = root[some] != root[other]
-                        some, other = some[apart], other[apart]
-                    for i, j in zip(some.tolist(), other.tolist(), strict=True):
+                        some, other, low_ = some[apart], other[apart], low_[apart]
+                    for i, j, d in zip(some.tolist(), other.tolist(), low_.tolist(), strict=True):
                         if links.root(keys[i]) != links.root(keys[j]):
-                            links.compare(keys[i], keys[j], texts[i].as_py(), texts[j].as_py(), least)
+                            links.compare(keys[i], keys[j], texts[i].as_py(), texts[j].as_py(), least, d)
             low = high
         if links.edges:
             yield links.taken()
@@ -715,12 +734,11 @@ def dedup_lines(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", tex
             texts, n, m = [], [], []
             for text, gone in zip(batch.column(names.index(text_col)), batch.column(len(names)).to_pylist(), strict=True):
                 x = text.as_py()
-                lines = [] if x is None else x.split("\n")
-                if gone:
+                n.append(0 if x is None else x.count("\n") + 1)
+                if gone and x is not None:
                     drop = set(gone)
-                    x = "\n".join(line for i, line in enumerate(lines) if i not in drop)
+                    x = "\n".join(line for i, line in enumerate(x.split("\n")) if i not in drop)
                 texts.append(x)
-                n.append(len(lines))
                 m.append(len(gone or ()))
             cols = [pa.array(texts, pa.string()) if name == text_col else batch.column(i) for i, name in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(m, pa.int64())], [*names, "n_lines", "n_removed"])
