@@ -31,7 +31,9 @@ def cc(spark, sf_dir):
     picked = S.select_mentions(chunks, [f"Q{i}" for i in range(5)], lambda sc: R.evidence(R.DEFAULT_THRESHOLDS, lambda s: sc[s]))
 
     def gate(rows):
-        gated = rows.join(S.harvest(picked.join(F.broadcast(rows.select("chunk_id")), "chunk_id", "left_semi"), splitters.get("regex")), "chunk_id")
+        # staged, as what comes after names a sentence and its reason many times, and each of them would be worked out anew
+        told = staged(S.harvest(picked.join(F.broadcast(rows.select("chunk_id")), "chunk_id", "left_semi"), splitters.get("regex")), "harvest")
+        gated = rows.join(told, "chunk_id")
         return gated.withColumn("key", T.dedup_key(F.col("sentence"))).withColumn("accepted", (F.col("reason") == "ok") & (T.word_count(F.col("sentence")) >= 4))
 
     return S.accept_in_turn(order, gate, 60).select("chunk_id", "qid", "place", "sentence")

@@ -489,6 +489,22 @@ def test_accept_in_turn_is_accept_until(spark):
     assert S.accept_in_turn(order.limit(0), gate, 3, 8).count() == 0
 
 
+def test_harvest_is_told_once(spark, sf, monkeypatch):
+    from annolith.plans import registry
+
+    plans = []
+
+    def once(order, gate, target):
+        out = S.accept_until(gate(order), target)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        return out
+
+    monkeypatch.setattr(S, "accept_in_turn", once)
+    registry.queries()["cc_sentence_harvest"](spark, sf)
+    # neither the mention nor the sentences are worked out again wherever the sentence and its reason are named
+    assert len(plans) == 1 and plans[0].count("regexp_extract") + plans[0].count("split_sentences") < 10
+
+
 def test_leaked_items_in_blocks(spark):
     docs = spark.createDataFrame([("one two three",), (None,), ("four",)], "text string")
     items = spark.createDataFrame([(1, "two"), (2, "five"), (3, None), (4, "four")], "item_id long, text string")
