@@ -312,8 +312,10 @@ def w11(spark, sf_dir):
 
 @query("w12_best_delta", "SELECT 'c' || p_partkey AS label, p_size::DOUBLE AS delta, objective FROM (SELECT *, (p_partkey % 40) / 40 AS objective FROM part) ORDER BY objective DESC, p_size LIMIT 1")
 def w12(spark, sf_dir):
-    p = Tables(spark, sf_dir).part.select(F.concat(F.lit("c"), "p_partkey").alias("label"), F.col("p_size").alias("delta"), (F.col("p_partkey") % 40 / 40).alias("objective"), "p_partkey")
-    return S.best_delta(p, "p_partkey")
+    # of equal rows the SQL keeps the one that it reads first: in one thread, the first of the file
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    p = Tables(spark, sf_dir).part.select(F.concat(F.lit("c"), "p_partkey").alias("label"), F.col("p_size").alias("delta"), (F.col("p_partkey") % 40 / 40).alias("objective"), place)
+    return S.best_delta(p, "place")
 
 
 @query("w16_newest_run", "SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS newest FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey")

@@ -272,6 +272,21 @@ def test_best_delta_of_equals_is_the_first(spark):
         assert SC.best_delta(grid([(a, b, 0.0, k) for a, b, _, k in r]), "k").first().label == "c9"
 
 
+def test_best_delta_of_equals_is_the_first_of_the_file(spark, tmp_path):
+    import duckdb
+
+    from annolith.plans import registry
+
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    # equal rows under several keys, of which the least comes neither first nor last
+    con.execute(f"COPY (SELECT (r * 7919 + 40 * 311) % 20000 AS p_partkey, (r % 5 + 1)::INT AS p_size FROM range(20000) t(r)) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    want = con.execute(registry.oracle_sql()["w12_best_delta"]).fetchall()
+    assert want != con.execute("SELECT 'c' || min(p_partkey), 1.0, 39 / 40 FROM part WHERE p_partkey % 40 = 39 AND p_size = 1").fetchall()
+    assert [tuple(r) for r in registry.queries()["w12_best_delta"](spark, str(tmp_path)).collect()] == want
+
+
 def test_parse_config(spark):
     get = lambda label: one(spark, SC.parse_config(F.col("x")), x=label)
     x = get("rmu_rome_L9mid_a250")
