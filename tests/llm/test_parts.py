@@ -217,3 +217,30 @@ def test_unlike_pairs_are_left_early(monkeypatch):
     monkeypatch.setattr(line_dedup.np, "take", lambda *x, **y: steps.append(1) or take(*x, **y))
     unlike = [("".join(r.choice("abcde") for _ in range(1000)), "".join(r.choice("fghij") for _ in range(1000)), 200) for _ in range(20)]
     assert not any(line_dedup.within_edits(unlike)) and len(steps) < 500
+
+
+def test_may_align_misses_no_alignment():
+    from annolith.llm import chaining
+
+    rng, rows = np.random.default_rng(5), []
+    for trial in range(180):
+        n, kept = int(rng.integers(30, 140)), rng.choice([1.0, 0.95, 0.85, 0.8])
+        one = rng.integers(0, rng.choice([30, 5000]), n).astype("<u4")
+        other = np.where(rng.random(n) < kept, one, rng.integers(0, 5000, n)).astype("<u4")
+        if trial % 3 == 0:  # a shift, so that the seeds lie on two diagonals
+            other = np.insert(other, int(rng.integers(n)), rng.integers(0, 5000, int(rng.integers(1, 9)))).astype("<u4")
+        edge = [rng.integers(0, 5000, int(rng.integers(0, 64))).astype("<u4") for _ in range(4)]
+        q, r = np.concatenate([edge[0], one, edge[1]]), np.concatenate([edge[2][: len(edge[0])], other, edge[3]])
+        both = [(i, j) for i in range(len(q) - 3) for j in range(max(0, i - 70), min(len(r) - 3, i + 70)) if (q[i : i + 4] == r[j : j + 4]).all()]
+        pos, rpos = (np.array(x, np.int64) for x in zip(*both, strict=True)) if both else (np.zeros(0, np.int64),) * 2
+        rows += [(q, r, pos[c], rpos[c]) for c in chaining.chains(pos, rpos)]
+    found = np.array([any(max(e - s, re - rs) >= 50 for s, e, rs, re, _ in chaining.alignments(q, r, p, x, 0.8)) for q, r, p, x in rows])
+    straight = np.array([len(p) == len(x) and bool((p == x).all()) for _, _, p, x in rows])
+    may = chaining.may_align(pa.array([q.tobytes() for q, *_ in rows], pa.binary()), pa.array([r.tobytes() for _, r, *_ in rows], pa.binary()), straight, 0.8, 50)
+    assert found.sum() > 30 and straight.sum() > 30 and (found & ~straight).sum() > 15
+    assert not (found & ~may).any()
+    # a line of 45 words that two texts share, words apart around it: no row for it
+    line, a, b = (rng.integers(0, 1 << 30, k).astype("<u4") for k in (45, 60, 60))
+    q, r = (np.concatenate([x, line, x[::-1]]).tobytes() for x in (a, b))
+    column = lambda *x: pa.array([b"", *x], pa.binary()).slice(1)
+    assert chaining.may_align(column(q, q), column(r, q), np.array([True, True]), 0.8, 50).tolist() == [False, True]
